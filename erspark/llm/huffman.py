@@ -19,6 +19,7 @@ repeat an id are documents of their own, in any order; an empty table has empty
 from __future__ import annotations
 
 import zlib
+from collections import deque
 
 import numpy as np
 import pyarrow as pa
@@ -148,6 +149,7 @@ class Decoder:
 
 
 COUNTS = "id int, n long"
+IDS = "file int, block int, first_token long, first_doc long, n_tokens int, ids binary, doc_ids array<bigint>, doc_tokens array<bigint>, continued boolean"
 BLOCKS = "file int, block int, first_token long, first_doc long, n_tokens int, payload binary, checkpoints binary, doc_ids array<bigint>, doc_tokens array<bigint>, continued boolean"
 SEGMENTS = "file int, doc long, block int, doc_id long, at long, n long, crc long"
 
@@ -158,35 +160,20 @@ def with_end(ids: np.ndarray, offsets: np.ndarray, end: int) -> tuple[np.ndarray
     return np.insert(ids, offsets[1:], end), offsets + np.arange(n + 1)
 
 
-def _count(vocabulary: str, end: int):
-    def run(batches):
-        total = np.zeros(0, np.int64)
-        e = encoder(vocabulary)
-        for b in batches:
-            data, off = T.buffers(b.column(0))
-            for lo, hi in T.slices(off, 8 * T.SLICE_BYTES):
-                ids, _ = e.encode(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
-                got = np.bincount(np.append(ids, np.full(hi - lo, end, np.int32)), minlength=len(total))
-                got[: len(total)] += total
-                total = got
-        used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[used])], ["id", "n"])
-
-    return run
-
+def _cut(vocabulary: str, end: int):
+    """Blocks of plain ids, 16 bits each where all ids fit."""
 
-def _blocks(vocabulary: str, end: int, lengths: np.ndarray):
     def run(batches):
         from pyspark import TaskContext
 
-        file, e, codes = TaskContext.get().partitionId(), encoder(vocabulary), canonical_codes(lengths)
-        held, held_docs = np.empty(0, np.int32), []  # docs: [id, tokens still to write, has begun]
+        file, e = TaskContext.get().partitionId(), encoder(vocabulary)
+        kind = "<u2" if e.size <= 1 << 16 else "<u4"
+        held, held_docs = np.empty(0, np.int32), deque()  # docs: [id, tokens still to write, has begun]
         block = first = docs = 0
 
         def flush(n):
             nonlocal held, block, first, docs
             ids, held = held[:n], held[n:]
-            payload, marks = pack(ids, codes, lengths)
             of, sizes, continued, left, first_doc = [], [], held_docs[0][2], n, docs
             while left:
                 d = held_docs[0]
@@ -197,15 +184,15 @@ def _blocks(vocabulary: str, end: int, lengths: np.ndarray):
                 d[1] -= m
                 d[2] = True
                 if not d[1]:
-                    held_docs.pop(0)
+                    held_docs.popleft()
                     docs += 1
-            row = [file, block, first, first_doc, n, payload, marks, of, sizes, continued]
+            row = [file, block, first, first_doc, n, ids.astype(kind).tobytes(), of, sizes, continued]
             block, first = block + 1, first + n
             return row
 
         def batch(rows):
-            kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.bool_()]
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], [x.split()[0] for x in BLOCKS.split(", ")])
+            kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.bool_()]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], [x.split()[0] for x in IDS.split(", ")])
 
         for b in batches:
             names = b.column(0).to_pylist()
@@ -213,7 +200,7 @@ def _blocks(vocabulary: str, end: int, lengths: np.ndarray):
             for lo, hi in T.slices(off, 4 * T.SLICE_BYTES):
                 ids, at = with_end(*e.encode(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]), end)
                 held = np.concatenate([held, ids])
-                held_docs += [[d, n, False] for d, n in zip(names[lo:hi], np.diff(at).tolist(), strict=True)]
+                held_docs.extend([d, n, False] for d, n in zip(names[lo:hi], np.diff(at).tolist(), strict=True))
                 rows = []
                 while len(held) >= BLOCK:
                     rows.append(flush(BLOCK))
@@ -225,29 +212,52 @@ def _blocks(vocabulary: str, end: int, lengths: np.ndarray):
     return run
 
 
+def _block_ids(raw: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(raw, "<u2" if len(raw) == 2 * n else "<u4").astype(np.int32)
+
+
+def _count(batches):
+    total = np.zeros(0, np.int64)
+    for b in batches:
+        for raw, n in zip(b.column("ids"), b.column("n_tokens"), strict=True):
+            got = np.bincount(_block_ids(raw.as_py(), n.as_py()), minlength=len(total))
+            got[: len(total)] += total
+            total = got
+    used = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[used])], ["id", "n"])
+
+
+def _encode(lengths: np.ndarray):
+    def run(batches):
+        codes = canonical_codes(lengths)
+        for b in batches:
+            out = [pack(_block_ids(raw.as_py(), n.as_py()), codes, lengths) for raw, n in zip(b.column("ids"), b.column("n_tokens"), strict=True)]
+            made = {"payload": pa.array([x for x, _ in out], pa.binary()), "checkpoints": pa.array([x for _, x in out], pa.binary())}
+            names = [x.split()[0] for x in BLOCKS.split(", ")]
+            yield pa.RecordBatch.from_arrays([made[n] if n in made else b.column(n) for n in names], names)
+
+    return run
+
+
 def write(docs: DataFrame, path: str, vocabulary: str, end: int = 0, limit: int = LIMIT) -> None:
     """Encodes whole texts of (doc_id, text) to ``path`` in ascending doc_id order.
 
-    Two passes tokenize the texts: the first for the global counts, the second behind a
-    range shuffle of the texts. Keeping ids between them would save the second pass but
-    need the space of another copy of the corpus.
+    Texts are range-shuffled and tokenized once; blocks of plain ids wait in the shared
+    folder until the global counts have given the code.
     """
     spark = docs.sparkSession
-    counts = docs.select("text").mapInArrow(_count(vocabulary, end), COUNTS).groupBy("id").agg(F.sum("n").alias("n")).collect()
+    ws = Workspace(spark, "ids")
+    by = F.col("doc_id").asc_nulls_first()
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").repartitionByRange(partitions(spark), by).sortWithinPartitions(by)
+    plain = ws.save(rows.mapInArrow(_cut(vocabulary, end), IDS), "ids")
+    counts = plain.select("ids", "n_tokens").mapInArrow(_count, COUNTS).groupBy("id").agg(F.sum("n").alias("n")).collect()
     total = np.zeros(max([r["id"] for r in counts], default=0) + 1, np.int64)
     for r in counts:  # one row per id of the vocabulary at most
         total[r["id"]] = r["n"]
     lengths = code_lengths(total, limit)
     spark.createDataFrame([(int(i), int(lengths[i])) for i in np.flatnonzero(lengths)], "id int, bits int").coalesce(1).write.mode("overwrite").parquet(f"{path}/code")
-    (
-        docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-        .repartitionByRange(partitions(spark), F.col("doc_id").asc_nulls_first())
-        .sortWithinPartitions(F.col("doc_id").asc_nulls_first())
-        .mapInArrow(_blocks(vocabulary, end, lengths), BLOCKS)
-        .write.mode("overwrite")
-        .option("compression", "uncompressed")
-        .parquet(f"{path}/blocks")
-    )
+    plain.mapInArrow(_encode(lengths), BLOCKS).write.mode("overwrite").option("compression", "uncompressed").parquet(f"{path}/blocks")
+    ws.close()
 
 
 def _segments(lengths: np.ndarray):
@@ -323,13 +333,15 @@ def crc_join(first: int, second: int, size: int) -> int:
 
 def _joined(batches):
     for b in batches:
-        crcs = []
-        for parts in b.column("parts").to_pylist():
-            crc = parts[0]["crc"]
-            for p in parts[1:]:
-                crc = crc_join(crc, p["crc"], 4 * p["n"])
-            crcs.append(crc)
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("start"), b.column("n_tokens"), pa.array(crcs, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+        parts = b.column("parts")
+        n, flat = parts.value_lengths().to_numpy(zero_copy_only=False), parts.flatten()
+        first = np.cumsum(n) - n
+        size, crc = flat.field("n").to_numpy(), flat.field("crc").to_numpy()
+        out = crc[first].copy()
+        for i in np.flatnonzero(n > 1).tolist():  # documents that cross blocks
+            for j in range(first[i] + 1, first[i] + n[i]):
+                out[i] = crc_join(int(out[i]), int(crc[j]), 4 * int(size[j]))
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("start"), b.column("n_tokens"), pa.array(out, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
 
 def digests(spark: SparkSession, path: str) -> DataFrame:
