@@ -167,7 +167,7 @@ def _cut(vocabulary: str, end: int):
         from pyspark import TaskContext
 
         file, e = TaskContext.get().partitionId(), encoder(vocabulary)
-        kind = "<u2" if e.size <= 1 << 16 else "<u4"
+        kind = "<u2" if e.vocabulary <= 1 << 16 else "<u4"
         held, held_docs = np.empty(0, np.int32), deque()  # docs: [id, tokens still to write, has begun]
         block = first = docs = 0
 

@@ -80,7 +80,7 @@ class BatchEncoder:
 
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
-        self.size = self.tok.get_vocab_size()
+        self.vocabulary = self.tok.get_vocab_size()
         kind = type(self.tok.pre_tokenizer).__name__
         self.fast = kind == "ByteLevel" and self.tok.normalizer is None and not self.tok.pre_tokenizer.add_prefix_space
         self._reset()
