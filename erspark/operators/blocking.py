@@ -10,6 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..functions import sets
 from ..functions import text as tx
@@ -57,7 +58,7 @@ def knn_blocks(q: DataFrame, p: DataFrame, k: int, by: str = "qi") -> DataFrame:
     if not sizes:
         return pair_scores(q, p).withColumn("rank", F.lit(0)).limit(0)
     spark = q.sparkSession
-    blocks = spark.createDataFrame([(c, max(1, -(-a // QUERY_BLOCK)), max(1, -(-b // POOL_BLOCK))) for c, (a, b) in sizes.items()], q.select("country").schema.add("nq", "int").add("np", "int"))
+    blocks = spark.createDataFrame([(c, max(1, -(-a // QUERY_BLOCK)), max(1, -(-b // POOL_BLOCK))) for c, (a, b) in sizes.items()], StructType([q.schema["country"], StructField("nq", IntegerType()), StructField("np", IntegerType())]))
 
     def dealt(df, key, own, other, own_name, other_name):
         placed = df.join(F.broadcast(blocks), "country").withColumn(own_name, F.pmod(F.xxhash64(key), F.col(own)).cast("int"))

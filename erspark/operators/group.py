@@ -7,19 +7,31 @@ from pyspark.sql import functions as F
 
 from ..functions import sets
 
-_Q = Window.partitionBy("qi")
-_QO = _Q.orderBy(F.col("p").desc(), F.col("pj").asc())
-_P = Window.partitionBy("pj")
-_PO = _P.orderBy(F.col("p").desc(), F.col("qi").asc())
 _ALL = (Window.unboundedPreceding, Window.unboundedFollowing)
 
 
+def _q():
+    return Window.partitionBy("qi")
+
+
+def _qo():
+    return _q().orderBy(F.col("p").desc(), F.col("pj").asc())
+
+
+def _p():
+    return Window.partitionBy("pj")
+
+
+def _po():
+    return _p().orderBy(F.col("p").desc(), F.col("qi").asc())
+
+
 def claims(scored: DataFrame) -> DataFrame:
     """Claims on the same pool row: number, rank of this one (from 1), best other p."""
-    top = F.max("p").over(_P)
-    second = F.nth_value("p", 2).over(_PO.rowsBetween(*_ALL))
+    top = F.max("p").over(_p())
+    second = F.nth_value("p", 2).over(_po().rowsBetween(*_ALL))
     return scored.select(
-        "*", F.count("*").over(_P).alias("s2_nclaim_pj"), F.row_number().over(_PO).alias("s2_rank_pj"),
+        "*", F.count("*").over(_p()).alias("s2_nclaim_pj"), F.row_number().over(_po()).alias("s2_rank_pj"),
         F.when(F.col("p") >= top, F.coalesce(second, F.lit(0.0))).otherwise(top).alias("s2_pmax_other_pj"),
     )
 
@@ -28,16 +40,16 @@ def ranks(scored: DataFrame) -> DataFrame:
     """Place and share of a candidate in its entity, and how many others are strong. Needs src."""
     hi = (F.col("p") > 0.5).cast("int")
     return scored.select(
-        "*", (F.row_number().over(_QO) - 1).alias("s2_rank_q"), F.max("p").over(_Q).alias("s2_pmax_q"),
-        (F.col("p") / (F.max("p").over(_Q) + 1e-9)).alias("s2_prel"), F.sum("p").over(_Q).alias("s2_psum_q"),
-        F.sum(hi).over(_Q).alias("s2_nhi_q"), F.sum(hi).over(Window.partitionBy("qi", "src")).alias("s2_nhi_same_src"),
+        "*", (F.row_number().over(_qo()) - 1).alias("s2_rank_q"), F.max("p").over(_q()).alias("s2_pmax_q"),
+        (F.col("p") / (F.max("p").over(_q()) + 1e-9)).alias("s2_prel"), F.sum("p").over(_q()).alias("s2_psum_q"),
+        F.sum(hi).over(_q()).alias("s2_nhi_q"), F.sum(hi).over(Window.partitionBy("qi", "src")).alias("s2_nhi_same_src"),
     )
 
 
 def sibling(scored: DataFrame) -> DataFrame:
     """Adds ref: the entity's best other candidate (the second for the first); -1 if alone."""
-    first, second = F.first("pj").over(_QO.rowsBetween(*_ALL)), F.nth_value("pj", 2).over(_QO.rowsBetween(*_ALL))
-    return scored.withColumn("ref", F.when(F.row_number().over(_QO) == 1, F.coalesce(second, F.lit(-1))).otherwise(first).cast("bigint"))
+    first, second = F.first("pj").over(_qo().rowsBetween(*_ALL)), F.nth_value("pj", 2).over(_qo().rowsBetween(*_ALL))
+    return scored.withColumn("ref", F.when(F.row_number().over(_qo()) == 1, F.coalesce(second, F.lit(-1))).otherwise(first).cast("bigint"))
 
 
 def sibling_text(with_ref: DataFrame, records: DataFrame) -> DataFrame:
@@ -89,7 +101,7 @@ def core_siblings(scored: DataFrame, cores: DataFrame) -> DataFrame:
 
 def relative_to_best(df: DataFrame, *columns: str) -> DataFrame:
     """rel_c = c minus the entity's largest c."""
-    return df.withColumns({f"rel_{c}": F.col(c) - F.max(c).over(_Q) for c in columns})
+    return df.withColumns({f"rel_{c}": F.col(c) - F.max(c).over(_q()) for c in columns})
 
 
 def entity_rollup(scored: DataFrame, top: tuple[str, ...] = ("p", "cos")) -> DataFrame:

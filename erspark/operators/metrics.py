@@ -63,9 +63,9 @@ def blocking(scored: DataFrame, *by: str) -> DataFrame:
 def recall_at(ranked: DataFrame, total: DataFrame, ks: list[int], *by: str) -> DataFrame:
     """(k, by..., recall): share of true pairs ranked below each k. total: (by..., n) true pairs."""
     grid = F.array(*[F.lit(k) for k in ks])
-    hits = ranked.filter("tp").withColumn("at", F.explode(F.filter(grid, lambda k: F.col("rank") < k))).groupBy("at", *by).agg(F.count("*").alias("hits"))
-    points = total.withColumn("at", F.explode(grid))
-    return points.join(hits, ["at", *by], "left").select("at", *by, (F.coalesce("hits", F.lit(0)) / F.col("n")).alias("recall"))
+    hits = ranked.filter("tp").withColumn("topk", F.explode(F.filter(grid, lambda k: F.col("rank") < k))).groupBy("topk", *by).agg(F.count("*").alias("hits"))
+    points = total.withColumn("topk", F.explode(grid))
+    return points.join(hits, ["topk", *by], "left").select("topk", *by, (F.coalesce("hits", F.lit(0)) / F.col("n")).alias("recall"))
 
 
 def auc(rows: DataFrame, score: str, label: str, *by: str) -> DataFrame:

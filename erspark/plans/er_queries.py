@@ -52,7 +52,7 @@ def load_union_src(v):
 def truth_explode_attach(v):
     lists = truth_pairs(v).groupBy("qi").agg(F.array_join(F.collect_list(F.col("pj").cast("string")), ",").alias("matched_entity_ids"))
     pairs = tables.explode_truth(lists.withColumnRenamed("qi", "source1_entity_id"))
-    return pairs.groupBy(F.col("s1").alias("qi")).agg(F.count("*").alias("k"), F.sum(F.col("id").cast("long")).alias("ids"))
+    return pairs.groupBy(F.col("s1").cast("long").alias("qi")).agg(F.count("*").alias("k"), F.sum(F.col("id").cast("long")).alias("ids"))
 
 
 LISTS = "SELECT s.qi, coalesce(string_agg(CAST(k.pj AS VARCHAR), ',' ORDER BY k.p DESC, k.pj), '') AS list FROM er_s1 s LEFT JOIN kept k ON k.qi = s.qi GROUP BY s.qi"
@@ -560,20 +560,20 @@ KS = [1, 2, 3, 5, 10]
 RANKED = "rk AS (SELECT *, row_number() OVER (PARTITION BY qi ORDER BY p DESC, pj) - 1 AS rank FROM er_claims)"
 
 
-@query(f"SELECT at, s.src, round(CAST(coalesce(sum(CASE WHEN rk.rank < at THEN 1 ELSE 0 END), 0) AS DOUBLE) / any_value(s.n), 6) AS recall FROM (SELECT unnest({KS}) AS at) g CROSS JOIN (SELECT src, count(*) AS n FROM er_pool WHERE owner >= 0 GROUP BY src) s LEFT JOIN rk ON rk.src = s.src AND rk.tp GROUP BY at, s.src", ER, RANKED)
+@query(f"SELECT topk, s.src, round(CAST(coalesce(sum(CASE WHEN rk.rank < topk THEN 1 ELSE 0 END), 0) AS DOUBLE) / any_value(s.n), 6) AS recall FROM (SELECT unnest({KS}) AS topk) g CROSS JOIN (SELECT src, count(*) AS n FROM er_pool WHERE owner >= 0 GROUP BY src) s LEFT JOIN rk ON rk.src = s.src AND rk.tp GROUP BY topk, s.src", ER, RANKED)
 def recall_at_k(v):
     ranked = group.ranks(v.er_claims).withColumn("rank", F.col("s2_rank_q"))
     total = v.er_pool.filter("owner >= 0").groupBy("src").agg(F.count("*").alias("n"))
     return metrics.recall_at(ranked, total, KS, "src").withColumn("recall", r6("recall"))
 
 
-@query(f"SELECT at, round(CAST(sum(tp) AS DOUBLE) / sum(k), 6) AS recall, round(avg({CEILING}), 6) AS ceiling_f05, round(avg(n), 6) AS cand_mean FROM (SELECT g.at, t.qi, t.k, coalesce(sum(CASE WHEN rk.rank < g.at THEN 1 ELSE 0 END), 0) AS n, coalesce(sum(CASE WHEN rk.rank < g.at AND rk.tp THEN 1 ELSE 0 END), 0) AS tp FROM (SELECT unnest({KS}) AS at) g CROSS JOIN er_truth t LEFT JOIN rk ON rk.qi = t.qi GROUP BY g.at, t.qi, t.k) GROUP BY at", ER, RANKED)
+@query(f"SELECT topk, round(CAST(sum(tp) AS DOUBLE) / sum(k), 6) AS recall, round(avg({CEILING}), 6) AS ceiling_f05, round(avg(n), 6) AS cand_mean FROM (SELECT g.topk, t.qi, t.k, coalesce(sum(CASE WHEN rk.rank < g.topk THEN 1 ELSE 0 END), 0) AS n, coalesce(sum(CASE WHEN rk.rank < g.topk AND rk.tp THEN 1 ELSE 0 END), 0) AS tp FROM (SELECT unnest({KS}) AS topk) g CROSS JOIN er_truth t LEFT JOIN rk ON rk.qi = t.qi GROUP BY g.topk, t.qi, t.k) GROUP BY topk", ER, RANKED)
 def recall_curve(v):
     grid = F.array(*[F.lit(k) for k in KS])
-    ranked = group.ranks(v.er_claims).withColumn("at", F.explode(F.filter(grid, lambda k: F.col("s2_rank_q") < k)))
-    per_k = ranked.groupBy("at", "qi").agg(F.count("*").alias("n"), F.sum(F.col("tp").cast("long")).alias("tp"))
-    d = v.er_truth.withColumn("at", F.explode(grid)).join(per_k, ["at", "qi"], "left").na.fill(0, ["n", "tp"])
-    return d.groupBy("at").agg(r6(F.sum("tp") / F.sum("k")).alias("recall"), r6(F.avg(metrics.ceiling(F.col("k"), F.col("tp")))).alias("ceiling_f05"), r6(F.avg("n")).alias("cand_mean"))
+    ranked = group.ranks(v.er_claims).withColumn("topk", F.explode(F.filter(grid, lambda k: F.col("s2_rank_q") < k)))
+    per_k = ranked.groupBy("topk", "qi").agg(F.count("*").alias("n"), F.sum(F.col("tp").cast("long")).alias("tp"))
+    d = v.er_truth.withColumn("topk", F.explode(grid)).join(per_k, ["topk", "qi"], "left").na.fill(0, ["n", "tp"])
+    return d.groupBy("topk").agg(r6(F.sum("tp") / F.sum("k")).alias("recall"), r6(F.avg(metrics.ceiling(F.col("k"), F.col("tp")))).alias("ceiling_f05"), r6(F.avg("n")).alias("cand_mean"))
 
 
 @query("SELECT qi, pj, p, CAST(r AS INTEGER) AS rank FROM (SELECT qi, pj, p, row_number() OVER (PARTITION BY qi ORDER BY p DESC, pj) - 1 AS r FROM er_scored WHERE p >= 0.3) WHERE r < 3", "er_scored")

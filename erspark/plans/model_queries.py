@@ -77,7 +77,7 @@ def entity_model(v):
 def resolver_end_to_end(v):
     """Generated records through the whole resolver: submission rows of a second, unseen set."""
     spark = v._spark
-    n = 300
+    n = 120
 
     def split(seed):
         t = toy.tables(spark, n, seed)
@@ -88,6 +88,7 @@ def resolver_end_to_end(v):
         return q, p
 
     q, p = split(1)
-    model = Resolver(rounds=5, folder=None).fit(q, p)
+    model = Resolver(rounds=3, folder=tables.scratch(spark)).fit(q, p)
+    model.folder = tables.scratch(spark)
     matches, _ = model.transform(*split(2))
     return matches

@@ -67,7 +67,7 @@ def context_features(v):
     return d.select("qi", "pj", r6("gap_q").alias("gap_q"), r6("rev_margin").alias("rev_margin"), "mutual", "n_cand_q", "is_s3")
 
 
-@query("SELECT at, round(CAST(count(r.pj) AS DOUBLE) / count(*), 6) AS overlap FROM (SELECT g.at, f.qi, f.pj FROM (SELECT unnest([1, 3, 10]) AS at) g JOIN fwd f ON f.rank < g.at) x LEFT JOIN (SELECT qi, pj, rank FROM rev) r ON r.qi = x.qi AND r.pj = x.pj AND r.rank < x.at GROUP BY at", VEC, f"{SCORED}, {FWD}, {REV}")
+@query("SELECT topk, round(CAST(count(r.pj) AS DOUBLE) / count(*), 6) AS overlap FROM (SELECT g.topk, f.qi, f.pj FROM (SELECT unnest([1, 3, 10]) AS topk) g JOIN fwd f ON f.rank < g.topk) x LEFT JOIN (SELECT qi, pj, rank FROM rev) r ON r.qi = x.qi AND r.pj = x.pj AND r.rank < x.topk GROUP BY topk", VEC, f"{SCORED}, {FWD}, {REV}")
 def overlap_at_k(v):
     a, b = blocking.knn(v.vec_q, v.vec_p, 10), blocking.knn(v.vec_q, v.vec_p, 3, "pj")
     return diagnostics.overlap_at(a, b, [1, 3, 10]).withColumn("overlap", r6("overlap"))
@@ -532,7 +532,7 @@ def normalization_experiment(v):
         top = blocking.sparse_topk(t.filter("id % 5 = 0").withColumnRenamed("id", "qi"), t.filter("id % 5 <> 0").withColumnRenamed("id", "pj"), 10)
         same = rows.select(F.col("id").alias("qi"), F.col("t").alias("x")).join(rows.filter("id % 5 <> 0").select(F.col("id").alias("pj"), F.col("t").alias("x")), "x").filter("qi % 5 = 0").select("qi", "pj")
         labelled = top.join(same.withColumn("tp", F.lit(True)), ["qi", "pj"], "left").withColumn("tp", F.coalesce("tp", F.lit(False)))
-        row = metrics.recall_at(labelled, same.agg(F.greatest(F.count("*"), F.lit(1)).alias("n")), [1, 5, 10]).select(F.lit(level).alias("level"), "at", r6("recall").alias("recall"))
+        row = metrics.recall_at(labelled, same.agg(F.greatest(F.count("*"), F.lit(1)).alias("n")), [1, 5, 10]).select(F.lit(level).alias("level"), "topk", r6("recall").alias("recall"))
         out = row if out is None else out.unionByName(row)
     return out
 
@@ -553,7 +553,7 @@ def recovery_options(v):
     cands = blocking.union_candidates(blocking.ranked(scored, "qi", "pj", 5), blocking.ranked(scored, "pj", "qi", 1))
     truth = fwd.filter("pj % 3 = 0").select("qi", "pj")
     d = diagnostics.recovery(truth, cands, fwd, rev, [10, 20], [3, 5], 100)
-    return d.select("option", "at", r6("recovered").alias("recovered"), r6("cost").alias("cost"))
+    return d.select("option", "topk", r6("recovered").alias("recovered"), r6("cost").alias("cost"))
 
 
 ASSOC = "(SELECT id, unnest(list_distinct(nw)) AS native FROM rec WHERE country = 'fr')"

@@ -40,7 +40,7 @@ def records(raw: DataFrame, source: str | None = None) -> DataFrame:
 
 def explode_truth(truth: DataFrame) -> DataFrame:
     """(s1, id) of every listed match; empty lists have none."""
-    ids = F.filter(F.transform(F.split("matched_entity_ids", ","), F.trim), lambda x: x != "")
+    ids = F.filter(F.transform(F.split("matched_entity_ids", ","), lambda x: F.trim(x)), lambda x: x != "")
     return truth.select(F.col("source1_entity_id").alias("s1"), F.explode(ids).alias("id"))
 
 
@@ -106,6 +106,19 @@ def check_submission(entities: DataFrame, pool: DataFrame, matches: DataFrame, c
     return out
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder in the shared one that the session names; on a local master a temporary one."""
+    import tempfile
+    import uuid
+
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        shared = tempfile.mkdtemp(prefix="erspark-")
+    return f"{shared.rstrip('/')}/erspark-{uuid.uuid4().hex[:12]}"
+
+
 def save_stage(df: DataFrame, path: str) -> DataFrame:
     """Writes beside the target, then swaps it in: readers see the old table or the new one."""
     spark = df.sparkSession
