@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import Workspace
+from .store import Workspace, apart
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -14,10 +14,10 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     both = ends.unionByName(ends.select(F.col("v").alias("u"), F.col("u").alias("v")))
     if large:
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        return both.join(least, "u").filter("v > u").select(F.col("m").alias("a"), F.col("v").alias("b")).distinct()
+        return both.join(apart(least), "u").filter("v > u").select(F.col("m").alias("a"), F.col("v").alias("b")).distinct()
     down = both.filter("v < u")
     least = down.groupBy("u").agg(F.min("v").alias("m"))
-    moved = down.join(least, "u").select(F.col("m").alias("a"), F.col("v").alias("b")).filter("a <> b")
+    moved = down.join(apart(least), "u").select(F.col("m").alias("a"), F.col("v").alias("b")).filter("a <> b")
     return moved.unionByName(least.select(F.col("m").alias("a"), F.col("u").alias("b"))).distinct()
 
 

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as T
-from .store import Workspace, partitions
+from .store import Workspace, apart, partitions
 
 #: Code points of a run from which later copies are deleted.
 MIN_CHARS = 100
@@ -125,7 +125,7 @@ def copies(docs: DataFrame, ws: Workspace, min_chars: int = MIN_CHARS) -> DataFr
     # Depth and ranks name an interval; ranks of different steps never meet, as m tells the step.
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key", "lo")
     interval = found.groupBy("m", "a", "b").agg(F.min(order).alias("first"))
-    later = found.join(interval, ["m", "a", "b"]).filter(order > F.col("first"))
+    later = found.join(apart(interval), ["m", "a", "b"]).filter(order > F.col("first"))
     return later.select("doc_id", "key", "lo", (F.col("lo") + F.col("m")).alias("hi"))
 
 

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from . import text as T
 from .huffman import with_end
-from .store import Workspace
+from .store import Workspace, apart
 from .tokens import encoder
 
 CAPACITY = 1024
@@ -182,7 +182,7 @@ def pack(cut: DataFrame, capacity: int = CAPACITY, rounds: int = ROUNDS) -> Data
     ranked = dealt.withColumn("_rank", F.row_number().over(Window.partitionBy("length", "_bucket").orderBy("doc_id", "piece")).cast("bigint") - 1)
     table = spark.createDataFrame(runs, "length long, rank long, sequence long, times long, at long").groupBy("length").agg(F.sort_array(F.collect_list(F.struct("rank", "sequence", "times", "at"))).alias("_runs"))
     # The runs follow from the histogram alone: a few rows per configuration and length.
-    placed = ranked.join(before, ["length", "_bucket"]).join(F.broadcast(table), "length").withColumn("_rank", F.col("_rank") + F.col("_before"))
+    placed = ranked.join(apart(before), ["length", "_bucket"]).join(F.broadcast(table), "length").withColumn("_rank", F.col("_rank") + F.col("_before"))
     placed = placed.withColumn("_run", F.element_at(F.filter("_runs", lambda x: x["rank"] <= F.col("_rank")), -1))
     inside = F.col("_rank") - F.col("_run.rank")
     times = F.col("_run.times")

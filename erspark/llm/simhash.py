@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from . import text as T
 from .graph import components
-from .store import Workspace
+from .store import Workspace, apart
 
 SEED = 42
 #: Distinct fingerprints of a shard beyond which it is split.
@@ -286,4 +286,4 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, words: int = 1, radius: i
     else:
         of = classes.select("node", "first").join(named, "node", "left").withColumn("root", F.coalesce("root", "node"))
         lowest = of.join(of.groupBy("root").agg(F.min("first").alias("lowest")), "root").select("node", F.col("lowest").alias("first"))
-    return fps.join(lowest, "node").select("doc_id", "fp", F.col("first").alias("component_id"))
+    return fps.join(apart(lowest), "node").select("doc_id", "fp", F.col("first").alias("component_id"))

@@ -90,6 +90,15 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
+def apart(df: DataFrame) -> DataFrame:
+    """A small aggregate dealt anew before a join with the rows it sums up.
+
+    Left as it is, it is joined in the partitions of its own keys, where the skew join
+    cannot split a hot one.
+    """
+    return df.repartition(partitions(df.sparkSession))
+
+
 def range_bounds(df: DataFrame, column: str, n: int) -> list[int]:
     """At most ``n - 1`` ascending cut points of an integer column, from one aggregate.
 

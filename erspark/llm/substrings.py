@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as T
-from .store import Workspace
+from .store import Workspace, apart
 
 LENGTH = 400
 #: Bytes of the grams that choose anchors and name the first buckets.
@@ -202,7 +202,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, size
 
     found = ws.save(texts.select(*key, "text").mapInArrow(_find_anchors(length, gram), ANCHORS), "anchors")
     repeated = found.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
-    left = found.join(repeated, "bucket").groupBy(*key).agg(F.collect_list(F.struct("place", "lo", "hi")).alias("spots"))
+    left = found.join(apart(repeated), "bucket").groupBy(*key).agg(F.collect_list(F.struct("place", "lo", "hi")).alias("spots"))
     runs = ws.save(texts.select(*key, "text").join(left, key).mapInArrow(_name_runs(length, size), RUNS), "runs")
     ws.drop("anchors")
 
@@ -214,7 +214,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, size
     asked = judged.filter("single and kinds > 1").select("core", "chosen.*").groupBy(*key).agg(F.collect_list(F.struct("place", "run", "core")).alias("asked"))
     windows = ws.save(texts.select(*key, "text").join(asked, key).mapInArrow(_name_windows(length, size), WINDOWS), "windows")
     equal = windows.groupBy("core", "name").agg(F.count("*").alias("n")).filter("n > 1").select("core", "name")
-    single = windows.join(equal, ["core", "name"]).select(*key, F.col("start").alias("lo"), F.col("start").alias("hi"))
+    single = windows.join(apart(equal), ["core", "name"]).select(*key, F.col("start").alias("lo"), F.col("start").alias("hi"))
 
     full = whole.select(*key, (F.col("place") - F.col("run") * size - (size - 1)).alias("lo"), (F.col("place") - F.col("run") * size).alias("hi"))
     marks = ws.save(full.unionByName(single).groupBy(*key).agg(F.collect_set(F.struct("lo", "hi")).alias("marks")), "marks")
