@@ -1,0 +1,558 @@
+"""Training-data operators against brute force, round trips and edge cases."""
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pyarrow as pa
+import pytest
+import xxhash
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from erspark.llm import chat, decontaminate, graph, huffman, language, licenses, lines, packing, simhash, substrings, syncmers
+from erspark.llm import queries as llm_queries
+from erspark.llm import text as T
+from erspark.llm.store import Workspace
+from erspark.llm.tokens import BatchEncoder, encoder, vocabulary_path
+
+SCHEMA = "doc_id long, text string"
+#: Nulls, empty and long texts, ties, repeated rows, a clashing extra column.
+EDGES = [(1, None), (2, ""), (3, "a"), (3, "a"), (4, "a"), (None, "a b c"), (5, "x " * 5000), (6, "x " * 5000), (7, "\n\n"), (8, "é ü 中文 कि"), (9, "!!! ???"), (10, "one two three four five six seven")]
+
+
+@pytest.fixture(scope="module")
+def edges(spark):
+    return spark.createDataFrame([(*r, "kept", 7) for r in EDGES], SCHEMA + ", kept string, n_lines int")
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def lower(b: bytes) -> bytes:
+    return b.translate(T.LOWER_BYTES)
+
+
+# Tokens, Huffman, packing
+
+
+def test_batch_encoder_equals_library():
+    e = BatchEncoder(vocabulary_path())
+    rng = random.Random(1)
+    parts = ["'s", "'ll", "'re", "'", "''", " ", "  ", "\n", "\n\n", "\t", "a", "bc", "É", "1", "23", "!", "..", "中文", " ", "", "'t", " 's", "x'd", "\x85", " ", "<|endoftext|>", "'S", "'v", "'ve", "ß"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 12))) for _ in range(3000)]
+    data, off = T.buffers(pa.array(texts))
+    ids, at = e.encode(data, off)
+    for i, t in enumerate(texts):
+        assert e.tok.encode(t, add_special_tokens=False).ids == ids[at[i] : at[i + 1]].tolist(), t
+
+
+@settings(max_examples=30, deadline=None)
+@given(st.lists(st.integers(0, 1000), min_size=1, max_size=200), st.integers(8, 12))
+def test_code_lengths(counts, limit):
+    got = huffman.code_lengths(np.array(counts), limit)
+    used = np.array(counts) > 0
+    assert (got[~used] == 0).all() and (got[used] <= limit).all()
+    if used.sum() > 1:
+        assert sum(2.0 ** -int(x) for x in got[used]) == 1.0
+        # An unlimited code is never longer in all than a limited one, and equal if it fits.
+        import heapq
+
+        heap = [(c, 0) for c in np.array(counts)[used].tolist()]
+        heapq.heapify(heap)
+        total = deepest = 0
+        while len(heap) > 1:
+            a, b = heapq.heappop(heap), heapq.heappop(heap)
+            total += a[0] + b[0]
+            deepest = max(a[1], b[1]) + 1
+            heapq.heappush(heap, (a[0] + b[0], deepest))
+        cost = int((np.array(counts) * got).sum())
+        assert cost >= total and (deepest > limit or cost == total)
+
+
+def test_blocks_round_trip():
+    rng = np.random.default_rng(1)
+    ids = np.minimum(rng.zipf(1.4, 50_000), 4000).astype(np.int32)
+    lengths = huffman.code_lengths(np.bincount(ids))
+    codes = huffman.canonical_codes(lengths)
+    blocks = [(*huffman.pack(ids[a : a + 999], codes, lengths), len(ids[a : a + 999])) for a in range(0, len(ids), 999)]
+    assert (huffman.Decoder(lengths).decode(blocks) == ids).all()
+    assert (huffman.Decoder(lengths).decode(blocks[5:6]) == ids[5 * 999 : 6 * 999]).all()
+
+
+def test_crc_join():
+    a, b = b"some bytes", b"and more of them"
+    assert huffman.crc_join(zlib.crc32(a), zlib.crc32(b), len(b)) == zlib.crc32(a + b)
+
+
+def tokens_of(text, end):
+    return np.array([*encoder(vocabulary_path()).tok.encode(text or "", add_special_tokens=False).ids, end], "<u4")
+
+
+@pytest.mark.parametrize("block", [300, 1 << 16])
+def test_token_output(spark, data, edges, empty, monkeypatch, block):
+    monkeypatch.setattr(huffman, "BLOCK", block)
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    got = sorted(map(tuple, huffman.token_output(docs, vocabulary_path()).collect()))
+    start, want = 0, []
+    for i, t in sorted((r.doc_id, r.text) for r in docs.collect()):
+        ids = tokens_of(t, 0)
+        want.append((i, start, len(ids), zlib.crc32(ids.tobytes())))
+        start += len(ids)
+    assert got == want
+    rows = huffman.token_output(edges, vocabulary_path()).collect()
+    assert Counter((r.doc_id, r.n_tokens, r.ids_crc32) for r in rows) == Counter((i, len(x := tokens_of(t, 0)), zlib.crc32(x.tobytes())) for i, t in EDGES)
+    assert sorted(r.start for r in rows) == np.append(0, np.cumsum([r.n_tokens for r in sorted(rows, key=lambda r: r.start)])[:-1]).tolist()
+    assert huffman.token_output(empty, vocabulary_path()).count() == 0
+
+
+def test_read_ids(spark, edges):
+    ws = Workspace(spark, "test")
+    huffman.write(edges, ws.path("f"), vocabulary_path(), 0)
+    got = Counter((r.doc_id, tuple(r.ids)) for r in huffman.read(spark, ws.path("f")).collect())
+    assert got == Counter((i, tuple(tokens_of(t, 0).tolist())) for i, t in EDGES)
+
+
+@settings(max_examples=25, deadline=None)
+@given(st.dictionaries(st.integers(1, 60), st.integers(1, 40), max_size=25))
+def test_configurations(histogram):
+    plan = packing.configurations(histogram, 60, 50)
+    placed: Counter = Counter()
+    for config, n in plan:
+        assert n > 0 and sum(s * k for s, k in config.items()) <= 60
+        for s, k in config.items():
+            placed[s] += k * n
+    assert dict(placed) == histogram
+    assert sum(n for _, n in plan) <= sum(n for _, n in packing.best_fit(histogram, 60))
+
+
+def test_knapsack_is_best():
+    rng = random.Random(2)
+    for _ in range(20):
+        sizes = np.array(sorted(rng.sample(range(1, 12), 4)))
+        value = np.array([rng.random() for _ in sizes])
+        times = packing.knapsack(sizes, value, 20)
+        assert (times * sizes).sum() <= 20
+        best = [0.0] * 21
+        for c in range(1, 21):
+            best[c] = max([best[c - 1], *[best[c - s] + v for s, v in zip(sizes, value, strict=True) if s <= c]])
+        assert (times * value).sum() == pytest.approx(best[20])
+
+
+@pytest.mark.parametrize("capacity", [64, 1024])
+def test_packing(spark, data, edges, empty, capacity):
+    docs = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text")
+    rows = packing.pack_documents(docs, vocabulary_path(), 2, capacity).collect()
+    by_doc, by_seq = defaultdict(list), defaultdict(list)
+    for r in rows:
+        by_doc[r.doc_id].append(r)
+        by_seq[r.sequence_id].append((r.offset, r.length))
+    for i, t in ((r.doc_id, r.text) for r in docs.collect()):
+        ids, at = tokens_of(t, 2), 0
+        assert [r.piece for r in sorted(by_doc[i], key=lambda r: r.piece)] == list(range(-(-len(ids) // capacity)))
+        for r in sorted(by_doc[i], key=lambda r: r.piece):
+            assert r.start == at and (r.piece == 0 or r.length == capacity)
+            assert zlib.crc32(ids[at : at + r.length].tobytes()) == r.ids_crc32
+            at += r.length
+        assert at == len(ids)
+    for places in by_seq.values():
+        end = 0
+        for offset, length in sorted(places):
+            assert offset == end
+            end += length
+        assert end <= capacity
+    assert packing.pack_documents(edges, vocabulary_path(), 2, capacity).agg(F.sum("length")).first()[0] == sum(len(tokens_of(t, 2)) for _, t in EDGES)
+    assert packing.pack_documents(empty, vocabulary_path(), 2, capacity).count() == 0
+
+
+# SimHash
+
+
+def python_fingerprint(text, shingle=3):
+    words = lower((text or "").encode()).split()
+    parts = [b" ".join(words[i : i + shingle]) for i in range(len(words) - shingle + 1)] if len(words) >= shingle else [b" ".join(words)] * bool(words)
+    hashes = [xxhash.xxh64_intdigest(x, 42) for x in parts]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def python_groups(rows, radius):
+    parent = list(range(len(rows)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, (_, a) in enumerate(rows):
+        for j, (_, b) in enumerate(rows[:i]):
+            if (a ^ b).bit_count() <= radius:
+                x, y = find(i), find(j)
+                parent[max(x, y)] = min(x, y)
+    groups = defaultdict(list)
+    for i in range(len(rows)):
+        groups[find(i)].append(rows[i][0])
+    return Counter((d, min((x for x in g if x is not None), default=None)) for g in groups.values() for d in g)
+
+
+def test_simhash_contract(spark, data, edges, empty):
+    docs = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text")
+    for df in (docs, edges.select("doc_id", "text")):
+        want = [(r.doc_id, python_fingerprint(r.text)) for r in df.collect()]
+        got = simhash.near_duplicates(df).collect()
+        assert Counter((r.doc_id, r.fp.hex()) for r in got) == Counter((i, f"{f:016x}") for i, f in want)
+        assert Counter((r.doc_id, r.component_id) for r in got) == python_groups(want, 2)
+    assert simhash.near_duplicates(empty).count() == 0
+
+
+@pytest.mark.parametrize("limit", [3, 4096])
+def test_bk_links_and_large_shards(spark, monkeypatch, limit):
+    monkeypatch.setattr(simhash, "MAX_SHARD", limit)
+    rng = random.Random(4)
+    base = [rng.getrandbits(64) for _ in range(6)]
+    rows = [(i, rng.choice(base) ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 4)))) for i in range(250)]
+    made = spark.createDataFrame([(i, bytearray(f.to_bytes(8, "big"))) for i, f in rows], "doc_id long, fp binary")
+    monkeypatch.setattr(simhash, "fingerprints", lambda docs, shingle, words: made)
+    got = simhash.near_duplicates(made.select("doc_id", F.lit("").alias("text"))).collect()
+    assert Counter((r.doc_id, r.component_id) for r in got) == python_groups(rows, 2)
+
+
+def test_similarity_mode_recall(spark):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    rows = []
+    for g in range(40):
+        text = [word() for _ in range(200)]
+        rows.append((2 * g, " ".join(text)))
+        for at in (30, 90, 150)[: 1 + g % 3]:
+            text[at] = word()
+        rows.append((2 * g + 1, " ".join(text)))
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(spark.createDataFrame(rows, SCHEMA), 5, 4, similarity=0.8).collect()}
+    assert sum(got[2 * g + 1] == 2 * g for g in range(40)) >= 38
+    assert all(got[d] // 2 == d // 2 for d in got)
+
+
+def test_components(spark):
+    ws = Workspace(spark, "graph")
+    rng = random.Random(6)
+    pairs = [(i, i + 1) for i in range(30)] + [(100, x) for x in range(101, 140)] + [(rng.randint(200, 260), rng.randint(200, 260)) for _ in range(40)]
+    edges = ws.save(spark.createDataFrame(pairs, "a long, b long"), "e")
+    root = {r.node: r.root for r in graph.components(edges, ws).collect()}
+    assert {root[i] for i in range(31)} == {0} and {root[i] for i in range(100, 140)} == {100}
+    assert all(root.get(a, a) == root.get(b, b) for a, b in pairs)
+    assert graph.components(edges.filter("a < 0"), ws) is None
+
+
+# Lines
+
+
+def python_lines(rows, least):
+    order = sorted(range(len(rows)), key=lambda k: (rows[k][0] is None, rows[k][0] or 0))
+    seen, out = set(), []
+    for k in order:
+        ls = rows[k][1].split("\n") if rows[k][1] else []
+        drop = set()
+        for i in range(len(ls)):
+            for j in range(i + 1, len(ls) + 1):
+                if sum(map(len, ls[i:j])) >= least:
+                    if tuple(ls[i:j]) in seen:
+                        drop.update(range(i, j))
+                    seen.add(tuple(ls[i:j]))
+        out.append((rows[k][0], len(ls), len(drop), "\n".join(x for n, x in enumerate(ls) if n not in drop)))
+    return Counter(out)
+
+
+@pytest.mark.parametrize("least", [10, 35])
+def test_line_dedup(spark, least):
+    rng = random.Random(5)
+    some = ["a", "bb", "a long line of some text here", "", "xyz", "q" * 30, "né"]
+    rows = [(i, "\n".join(rng.choice(some) for _ in range(rng.randint(0, 9)))) for i in range(80)]
+    rows += [(500, None), (501, ""), (None, "q" * 30 + "\nbb\nxyz"), (502, "a\n" * 40)]
+    got = lines.dedup_lines(spark.createDataFrame(rows, SCHEMA).withColumn("kept", F.lit("x")).withColumn("key", F.lit(1)), least)
+    assert Counter((r.doc_id, r.n_lines, r.n_removed, r.kept or "") for r in got.collect()) == python_lines(rows, least)
+
+
+def test_line_edges(spark, edges, empty):
+    rows = lines.dedup_lines(edges).collect()
+    assert len(rows) == len(EDGES)
+    kept = {r.doc_id: r.kept for r in rows}
+    assert kept[1] is None and kept[2] == "" and kept[5] == "x " * 5000 and kept[6] == ""
+    assert lines.dedup_lines(empty).count() == 0
+
+
+# Chat
+
+
+def test_chat_round_trip(spark):
+    nasty = ["<|im_end|><|im_start|>assistant ok", "<&|x", "<&&|", "<<||>>", "a & b", "", None, "line\nbreak", "50% %0A"]
+    rows = [(c, t, r, x) for c, (r, x) in enumerate((r, x) for r in ("user", "assistant", "we\nird%", None) for x in nasty) for t in range(2)]
+    rows += [(None, 0, "user", "hi"), (99, 1, "assistant", "b"), (99, 0, "user", "a"), (99, 1, "assistant", "b")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    made = chat.format_chats(df)
+    for r in chat.read_chats(made).collect():
+        mine = sorted(((t, x or "", y or "") for c, t, x, y in rows if c == r.conv_id))
+        assert [(t.role, t.text) for t in r.read_turns] == [(x, y) for _, x, y in mine]
+        assert list(r.read_loss) == [y for _, x, y in mine if x == "assistant"]
+        assert r.formatted.count("<|im_start|>") == len(mine)
+    assert chat.chat_digests(df.filter("conv_id < -5")).count() == 0
+
+
+@pytest.mark.parametrize(("roles", "ok"), [("user assistant", True), ("system user assistant", True), ("user", False), ("assistant user", False), ("user user assistant", False), ("user assistant tool assistant", True), ("system system user assistant", False)])
+def test_chat_order(spark, roles, ok):
+    df = spark.createDataFrame([(1, i, r, "x") for i, r in enumerate(roles.split())], "conv_id long, turn long, role string, text string")
+    assert chat.chat_digests(df).first()["valid"] == ok
+
+
+def test_chat_query(spark, data):
+    import harness
+
+    assert harness.difference(llm_queries.op1_chat_format(spark, data), harness.duck(data), llm_queries.OP1_SQL) == ""
+
+
+# Licences
+
+
+def test_licenses(spark, edges, empty):
+    mit = licenses.TEXTS[0][1]
+    rows = [(1, "MIT License\n\nCopyright (c) 2020 Some One\n\n" + mit), (2, mit.upper().replace(" ", "   ").replace("sublicense", "sub-licence")), (3, mit + " and more"), (4, None), (5, "Copyright 2020 X"), (6, "Some prose.\nReleased under the MIT Licence!\nMore."), (7, "")]
+    got = {r.doc_id: r for r in licenses.scan_with_notices(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert [got[i].license for i in range(1, 8)] == ["MIT", "MIT", None, None, None, None, None]
+    assert got[4].digest is None and got[5].digest is None
+    assert (got[6].n_notices, got[6].notices) == (1, "MIT")
+    assert licenses.scan(edges).count() == len(EDGES) and licenses.scan_with_notices(empty).count() == 0
+
+
+# Syncmers
+
+
+def python_anchors(text):
+    got = re.findall(r"[^\W_]+", text.lower())
+    return got
+
+
+def test_fingerprints(spark, edges, empty):
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    rows = [(i, " ".join(word() for _ in range(120))) for i in range(30)] + [(40, "same text"), (41, "same text"), (42, None), (43, "")]
+    got = {r.doc_id: r for r in syncmers.edited_likeness(spark.createDataFrame(rows, SCHEMA)).collect()}
+    order = sorted(rows, key=lambda r: -r[0])
+    for (i, t), (_, after) in zip(order, order[1:] + order[:1], strict=True):
+        t, after = t or "", after or ""
+        half = len(t) // 2
+        edited = t[: len(t) - half] + after[:half]
+        assert got[i].n_chars == len(t) and got[i].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
+    assert got[40].fingerprint == got[41].fingerprint and got[41].near_next == 1.0
+    assert got[42].fingerprint == got[43].fingerprint
+    for i in range(1, 30):
+        assert got[i].near_edited > 0.1 and got[i].near_next < 0.1
+    assert syncmers.edited_likeness(edges).count() == len(EDGES)
+    assert syncmers.edited_likeness(empty).count() == 0
+
+
+def test_anchors_move_with_the_text(spark):
+    rng = random.Random(8)
+    text = " ".join("".join(rng.choice("abcdefgh") for _ in range(4)) for _ in range(300))
+    d = spark.createDataFrame([(1, text), (2, "some words before it " + text)], SCHEMA)
+    a = defaultdict(set)
+    for r in syncmers.anchors(d).collect():
+        a[r.doc_id].add((r.place, r.hash))
+    assert {(p + 4, h) for p, h in a[1]} <= a[2]
+    assert 0.3 < len(a[1]) / 296 < 0.7  # two of four places
+
+
+# Language
+
+
+def test_language(spark, data, empty):
+    rng = random.Random(9)
+    kinds = {"x": "abcde", "y": "vwxyz"}
+    rows = [(i, " ".join("".join(rng.choice(kinds[k]) for _ in range(4)) for _ in range(40)), k) for i, k in enumerate(["x", "y"] * 60)]
+    rows += [(900, None, "x"), (901, "12 34 !", "y"), (902, "abcd", None), (903, "中文中文", "x"), (904, "", None)]
+    df = spark.createDataFrame(rows, SCHEMA + ", lang string")
+    model = language.fit(df.filter("doc_id % 3 > 0"))
+    got = {r.doc_id: r for r in language.predict(df.withColumn("score", F.lit("clash")), model).collect()}
+    assert len(got) == len(rows)
+    assert all(got[i].lang_pred == k for i, _, k in rows[:120])
+    assert got[900].lang_pred == got[901].lang_pred == got[904].lang_pred == "und" and got[900].score == 0 and got[901].rejected
+    assert got[902].lang_pred == "x" and got[903].lang_pred in kinds
+    assert all(0 <= r.score <= 1 for r in got.values())
+    assert language.fit(empty.withColumn("lang", F.lit(None).cast("string"))) is None
+    assert language.predict(empty, None).count() == 0
+    far = spark.createDataFrame([(1, "#".join("mnop" for _ in range(200)))], SCHEMA)
+    assert language.predict(far, model).first()["rejected"]
+
+
+def test_language_held_out(spark, data):
+    got = llm_queries.op7_language(spark, data).join(spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "lang"), "doc_id").filter("held_out").collect()
+    assert len(got) > 20 and sum(r.lang == r.lang_pred for r in got) / len(got) > 0.95
+    assert all(zlib.crc32(str(r.doc_id).encode()) % 4 == 2 for r in got)
+
+
+# Decontamination
+
+
+def words_of(text):
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+
+
+def python_hits(docs, bench, window):
+    wins = []
+    for i, t in bench:
+        w = words_of(t)
+        wins += [("null" if i is None else str(i), w[k : k + window]) for k in range(max(1, len(w) - window + 1) if w else 0)]
+    out = []
+    for i, t in docs:
+        w = words_of(t)
+        hit, items = np.zeros(len(w), bool), set()
+        for item, q in wins:
+            for k in range(len(w) - len(q) + 1):
+                if w[k : k + len(q)] == q:
+                    hit[k : k + len(q)] = True
+                    items.add(item)
+        out.append((i, len(w), int(hit.sum()), len(items), hashlib.sha256(",".join(sorted(items)).encode()).hexdigest(), bool(hit.any())))
+    return Counter(out)
+
+
+@pytest.mark.parametrize("limit", [1 << 20, 200])
+def test_decontamination(spark, monkeypatch, limit):
+    monkeypatch.setattr(decontaminate, "SEGMENT_BYTES", 2000)
+    rng = random.Random(10)
+    vocabulary = ["a", "b", "the", "Of", "é", "x1", "zz", "und"]
+    sentence = lambda n: " ".join(rng.choice(vocabulary) + rng.choice(["", ".", ","]) for _ in range(n))
+    bench = [(i, sentence(rng.choice([0, 1, 3, 4, 5, 8]))) for i in range(30)] + [(3, "the the"), (None, "zz zz zz zz"), (40, None)]
+    docs = [(i, sentence(rng.randint(0, 40))) for i in range(150)] + [(7, None), (8, ""), (9, bench[2][1]), (None, bench[5][1])]
+    ws = Workspace(spark, "test")
+    index = ws.save(decontaminate.index(spark.createDataFrame(docs, SCHEMA)), "i")
+    got = decontaminate.search(index, spark.createDataFrame(bench, "item_id long, text string"), 4, limit).collect()
+    assert Counter(tuple(r)[:6] for r in got) == python_hits(docs, bench, 4)
+    assert all(sum(z - a for a, z in zip(r.spans[::2], r.spans[1::2], strict=True)) >= r.n_hit for r in got)
+
+
+def test_near_matches():
+    data, off = T.buffers(pa.array(["a x b y c", "c b a", "a b"]))
+    row, _ = decontaminate.words(data, off)
+    assert np.bincount(row).tolist() == [5, 3, 2]
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2, 3], pa.int64()), pa.array(["a x b y c", "c b a", "a b"])], ["doc_id", "text"])
+
+    class Context:
+        def partitionId(self):  # noqa: N802
+            return 0
+
+    import pyspark
+
+    real = pyspark.TaskContext.get
+    pyspark.TaskContext.get = staticmethod(lambda: Context())
+    try:
+        segment = decontaminate.Segment(next(iter(decontaminate._index([batch]))).to_pylist()[0])
+    finally:
+        pyspark.TaskContext.get = real
+    query = decontaminate.Query([("1", "a b c")])
+    query.rank({})
+    places = segment.places(query.terms)[query.windows[0]]
+    assert segment.doc(segment.near(places, query.order[0], 2)).tolist() != []
+    assert set(segment.doc(segment.near(places, query.order[0], 2)).tolist()) == {0, 1} or set(segment.doc(segment.near(places, query.order[0], 4)).tolist()) == {0, 1}
+    assert len(segment.phrase(places, query.order[0])) == 0
+
+
+def test_decontamination_edges(spark, edges, empty):
+    bench = spark.createDataFrame([(1, "one two three four five six seven"), (2, None), (3, "")], "item_id long, text string")
+    got = {r.doc_id: r for r in decontaminate.decontaminate(edges, bench).collect()}
+    assert got[10].contaminated and not got[5].contaminated and got[1].n_words == 0
+    assert decontaminate.decontaminate(empty, bench).count() == 0
+    assert not any(r.contaminated for r in decontaminate.decontaminate(edges, bench.filter("item_id > 1")).collect())
+
+
+def test_varint():
+    x = np.array([0, 1, 127, 128, 300, 2**20, 2**34], np.int64)
+    assert decontaminate.from_varint(decontaminate.to_varint(x)[0]).tolist() == x.tolist()
+
+
+# Substrings
+
+
+def python_repeats(rows, length):
+    texts = [(d, (t or "").encode()) for d, t in rows]
+    seen = Counter(b[i : i + length] for _, b in texts for i in range(len(b) - length + 1))
+    out = []
+    for d, b in texts:
+        gone = np.zeros(len(b) + 1, bool)
+        for i in range(len(b) - length + 1):
+            if seen[b[i : i + length]] > 1:
+                gone[i : i + length] = True
+        gone = gone[: len(b)]
+        kept = bytes(np.frombuffer(b, np.uint8)[~gone])
+        out.append((d, len(b), int(gone.sum()), int((np.diff(np.append(0, gone.astype(int))) == 1).sum()), hashlib.sha256(kept).hexdigest()))
+    return Counter(out)
+
+
+@pytest.mark.parametrize(("length", "gram", "run"), [(40, 8, 4), (40, 8, 8), (30, 6, 32)])
+def test_substrings(spark, length, gram, run):
+    rng = random.Random(3)
+    make = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    base = [make(rng.randint(0, 200)) for _ in range(50)]
+    docs = list(base)
+    for _ in range(50):
+        t = list(rng.choice(base))
+        for _ in range(rng.randint(0, 2)):
+            if t:
+                t[rng.randrange(len(t))] = "é"
+        docs.append("".join(t))
+    docs += [rng.choice(base)[: rng.randint(0, 80)] + make(20) + rng.choice(base)[rng.randint(0, 50) :] for _ in range(20)]
+    docs += ["a" * 100, "ab" * 50, "ab" * 30, None, "", *[base[0]] * 3]
+    rows = [*enumerate(docs), (5, docs[5]), (None, docs[6])]
+    got = substrings.remove_repeats(spark.createDataFrame(rows, SCHEMA).withColumn("bucket", F.lit(1)), length, gram, run).collect()
+    assert Counter(tuple(r)[:5] for r in got) == python_repeats(rows, length)
+
+
+def test_substring_edges(spark, edges, empty):
+    got = substrings.remove_repeats(edges).collect()
+    assert Counter(tuple(r)[:5] for r in got) == python_repeats(EDGES, 400)
+    assert substrings.remove_repeats(empty).count() == 0
+
+
+def test_long_texts_in_pieces(monkeypatch):
+    rng = np.random.default_rng(1)
+    data = rng.integers(97, 105, 6000).astype(np.uint8)
+    whole = substrings.anchors(data, T.prefix_hash(data), 100, 16)
+    monkeypatch.setattr(substrings, "_POSITION", 11)
+    for a, b in zip(whole, substrings.anchors(data, T.prefix_hash(data), 100, 16), strict=True):
+        assert len(a) == len(b)
+
+
+# Pipeline
+
+
+def test_pipeline(spark, data):
+    import corpus_pipeline as pipeline
+
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    names = docs.columns
+    for k, (_, stage) in enumerate(pipeline.STAGES):
+        ws = Workspace(spark, "stage")
+        out = ws.save(stage(spark, docs, data), "out")
+        if k < 4:
+            assert out.columns == names and 0 < out.count() <= docs.count()
+            docs = out
+    packed = {r.doc_id for r in out.collect()}
+    assert packed == {r.doc_id for r in docs.collect()}
+    assert pipeline.run(spark, data).count() == out.count()
+
+
+def test_pipeline_edges(spark, data):
+    import corpus_pipeline as pipeline
+
+    rows = [(i, t, None, None, None) for i, t in EDGES] + [(20, "word " * 60, "en", "s", 300), (21, "word " * 60, "en", "s", 300)]
+    docs = spark.createDataFrame(rows, SCHEMA + ", lang string, source string, n_chars long")
+    for k, (_, stage) in enumerate(pipeline.STAGES):
+        ws = Workspace(spark, "stage")
+        docs = ws.save(stage(spark, docs, data), "out")
+        if k < 4:
+            assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+    empty = spark.createDataFrame([], SCHEMA + ", lang string, source string, n_chars long")
+    for _, stage in pipeline.STAGES:
+        assert stage(spark, empty, data).count() == 0
