@@ -33,7 +33,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: the one with the smallest id."""
     groups = simhash.near_duplicates(docs.select("doc_id", "text"), **NEAR)
     stay = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    kept = docs.join(stay, F.col("doc_id").eqNullSafe(F.col("_id"))).drop("_id")
+    kept = docs.join(stay.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id"))).drop("_id")
     # Rows that repeat both id and text are one group, too; the join has brought them together.
     text = F.xxhash64("text")
     same = F.lag(text).over(Window.partitionBy("doc_id").orderBy(text))

@@ -162,7 +162,8 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     keyed = base.withColumn("key", F.xxhash64("doc_id", "text"))
     ids = keyed.select(F.col("doc_id").cast("bigint").alias("doc_id"), "key", "text")
     cuts = ws.save(copies(ids, ws, min_chars).groupBy("key", "doc_id").agg(F.collect_set(F.struct("lo", "hi")).alias("cuts")), "cuts")
-    joined = keyed.join(cuts.select(F.col("key").alias("_k"), F.col("doc_id").alias("_d"), "cuts"), (F.col("key") == F.col("_k")) & F.col("doc_id").cast("bigint").eqNullSafe(F.col("_d")), "left").drop("_k", "_d")
+    # One join strategy at every size: with few cuts a broadcast would do, with many it would not.
+    joined = keyed.join(cuts.select(F.col("key").alias("_k"), F.col("doc_id").alias("_d"), "cuts").hint("merge"), (F.col("key") == F.col("_k")) & F.col("doc_id").cast("bigint").eqNullSafe(F.col("_d")), "left").drop("_k", "_d")
     schema = base.drop("text").schema
     for f in RESULT.split(", "):
         schema = schema.add(*f.split())
