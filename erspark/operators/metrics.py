@@ -5,9 +5,11 @@ truth: (qi, country, fold, k). pairs: (qi, pj), with tp (boolean: pj belongs to
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ranges import cumulative
+
 
 def f05(k: Column, n: Column, tp: Column) -> Column:
     """F0.5 of one entity: 1 if nothing is due nor given, 0 if only one of both."""
@@ -74,8 +76,8 @@ def auc(rows: DataFrame, score: str, label: str, *by: str) -> DataFrame:
     Rows are summed per distinct score first; ranks run over distinct scores only.
     """
     per = rows.groupBy(*by, score).agg(F.count("*").alias("n"), F.sum(F.col(label).cast("long")).alias("pos"))
-    order = Window.partitionBy(*by).orderBy(score) if by else Window.partitionBy(F.lit(0)).orderBy(score)
-    mid = F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n") + (F.col("n") + 1) / 2
+    per = cumulative(per, score, "n", *by)
+    mid = F.col("before") + (F.col("n") + 1) / 2
     s = per.withColumn("mid", mid).groupBy(*by).agg(F.sum(F.col("mid") * F.col("pos")).alias("ranks"), F.sum("pos").alias("p"), (F.sum("n") - F.sum("pos")).alias("q"))
     return s.select(*by, F.when((F.col("p") > 0) & (F.col("q") > 0), (F.col("ranks") - F.col("p") * (F.col("p") + 1) / 2) / (F.col("p") * F.col("q"))).alias("auc"))
 
@@ -83,9 +85,9 @@ def auc(rows: DataFrame, score: str, label: str, *by: str) -> DataFrame:
 def average_precision(rows: DataFrame, score: str, label: str) -> DataFrame:
     """Mean precision at each positive, equal scores together."""
     per = rows.groupBy(score).agg(F.count("*").alias("n"), F.sum(F.col(label).cast("long")).alias("pos"))
-    run = Window.partitionBy(F.lit(0)).orderBy(F.col(score).desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    s = per.withColumn("tp", F.sum("pos").over(run)).withColumn("all", F.sum("n").over(run))
-    return s.agg((F.sum(F.col("pos") * F.col("tp") / F.col("all")) / F.sum("pos")).alias("average_precision"))
+    s = cumulative(cumulative(per, score, "pos", descending=True).withColumnRenamed("before", "b"), score, "n", descending=True)
+    tp, all_ = F.col("b") + F.col("pos"), F.col("before") + F.col("n")
+    return s.agg((F.sum(F.col("pos") * tp / all_) / F.sum("pos")).alias("average_precision"))
 
 
 def log_loss(rows: DataFrame, score: str, label: str, eps: float = 1e-15) -> DataFrame:

@@ -640,3 +640,41 @@ def uncertain_mass(v):
 @query("SELECT fold, count(*) AS n, CAST(sum(k) AS BIGINT) AS k FROM er_truth GROUP BY fold", "er_truth")
 def fold_sizes(v):
     return v.er_truth.groupBy("fold").agg(F.count("*").alias("n"), F.sum("k").alias("k"))
+
+
+@query(
+    "SELECT CASE WHEN k = 0 THEN 'singleton' ELSE 'matched' END AS kind, count(*) AS n, round(quantile_cont(top1, 0.5), 6) AS top1_median, round(quantile_cont(gap, 0.5), 6) AS gap_median, round(avg(CASE WHEN k > 0 THEN CASE WHEN own THEN 1.0 ELSE 0.0 END END), 6) AS top1_true FROM (SELECT c.qi, t.k, max(CASE WHEN r = 1 THEN p END) AS top1, max(CASE WHEN r = 1 THEN p END) - coalesce(max(CASE WHEN r = 2 THEN p END), 0) AS gap, bool_or(r = 1 AND tp) AS own FROM (SELECT *, row_number() OVER (PARTITION BY qi ORDER BY p DESC, pj) AS r FROM er_claims) c JOIN er_truth t USING (qi) GROUP BY c.qi, t.k) GROUP BY 1",
+    ER,
+)
+def top1_quality(v):
+    ranked = group.ranks(v.er_claims)
+    at = lambda i: F.max(F.when(F.col("s2_rank_q") == i, F.col("p")))
+    per_q = ranked.groupBy("qi").agg(at(0).alias("top1"), (at(0) - F.coalesce(at(1), F.lit(0.0))).alias("gap"), F.max(((F.col("s2_rank_q") == 0) & F.col("tp")).cast("int")).alias("own")).join(v.er_truth, "qi")
+    kind = F.when(F.col("k") == 0, "singleton").otherwise("matched")
+    return per_q.groupBy(kind.alias("kind")).agg(F.count("*").alias("n"), r6(F.percentile("top1", F.lit(0.5))).alias("top1_median"), r6(F.percentile("gap", F.lit(0.5))).alias("gap_median"), r6(F.avg(F.when(F.col("k") > 0, F.col("own").cast("double")))).alias("top1_true"))
+
+
+@query(
+    "SELECT country, round(quantile_cont(top1, 0.1), 6) AS p10, round(quantile_cont(top1, 0.25), 6) AS p25, round(quantile_cont(top1, 0.5), 6) AS p50, round(quantile_cont(top1, 0.75), 6) AS p75, round(quantile_cont(top1, 0.9), 6) AS p90, round(avg(near), 6) AS near FROM (SELECT s.country, qi, max(p) AS top1, sum(CASE WHEN p >= 0.5 THEN 1 ELSE 0 END) AS near FROM er_scored JOIN er_s1 s USING (qi) GROUP BY s.country, qi) GROUP BY country",
+    ER,
+)
+def probe_quantiles(v):
+    per_q = v.er_scored.join(v.er_s1.select("qi", "country"), "qi").groupBy("country", "qi").agg(F.max("p").alias("top1"), F.sum((F.col("p") >= 0.5).cast("int")).alias("near"))
+    q = profile.quantiles(per_q, F.col("top1"), "country").join(per_q.groupBy("country").agg(F.avg("near").alias("near")), "country")
+    return rounded(q, "country")
+
+
+HASH = "(qi * 7919 + pj * 104729 + 17) % 10007"
+
+
+@query(f"SELECT * FROM (SELECT qi, pj, 1 AS label FROM er_claims WHERE tp ORDER BY {HASH}, qi, pj LIMIT 100) UNION ALL SELECT * FROM (SELECT qi, pj, 0 AS label FROM er_claims WHERE NOT tp ORDER BY {HASH}, qi, pj LIMIT 300)", ER)
+def training_pairs(v):
+    """Matches and three times as many others, by a hash order, to train a pair scorer on."""
+    order = F.pmod(F.col("qi") * 7919 + F.col("pj") * 104729 + 17, F.lit(10007))
+    pos = sampling.sample(v.er_claims.filter("tp"), 100, order, "qi", "pj")
+    return pos.unionByName(sampling.sample(v.er_claims.filter("not tp"), 300, order, "qi", "pj")).select("qi", "pj", F.col("tp").cast("int").alias("label"))
+
+
+@query("SELECT qi, pj, p, CAST(tp AS INTEGER) AS label, max(p) OVER (PARTITION BY qi) AS q_top1, max(p) OVER (PARTITION BY pj) AS p_top1 FROM er_claims", ER)
+def candidate_file(v):
+    return tables.candidate_file(v.er_claims, "p").select("qi", "pj", "p", "label", "q_top1", "p_top1")

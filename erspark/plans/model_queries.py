@@ -73,11 +73,25 @@ def entity_model(v):
     return metrics.report(metrics.per_entity(kept, v.er_truth)).select(r6("f05").alias("f05"), "n_s1")
 
 
+@query()
+def rescore_old_model(v):
+    """A model of the first folds at its old threshold, and at the best one, on the last folds."""
+    d = labelled(v)
+    old = models.fit(d.filter("fold < 2"), COLUMNS, rounds=5).score(d.filter("fold >= 2").drop("p")).select("qi", "pj", "p", "tp", "fold")
+    out, truth = None, v.er_truth.filter("fold >= 3")
+    best = decide.best(decide.grid_scores(old.filter("fold = 2").drop("fold"), v.er_truth.filter("fold = 2"), "threshold")).first()["x0"]
+    for name, t in (("old", 0.7), ("tuned", best)):
+        kept = decide.threshold(decide.one_to_one(old), t).filter("fold >= 3")
+        row = metrics.report(metrics.per_entity(kept, truth)).select(F.lit(name).alias("threshold"), r6("f05").alias("f05"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 @query()
 def resolver_end_to_end(v):
     """Generated records through the whole resolver: submission rows of a second, unseen set."""
     spark = v._spark
-    n = 120
+    n = 80
 
     def split(seed):
         t = toy.tables(spark, n, seed)
@@ -88,7 +102,7 @@ def resolver_end_to_end(v):
         return q, p
 
     q, p = split(1)
-    model = Resolver(rounds=3, folder=tables.scratch(spark)).fit(q, p)
+    model = Resolver(rounds=2, folder=tables.scratch(spark)).fit(q, p)
     model.folder = tables.scratch(spark)
     matches, _ = model.transform(*split(2))
     return matches

@@ -85,6 +85,18 @@ def read_lists(lists: DataFrame, key: str, column: str) -> DataFrame:
     return lists.filter(F.col(column) != "").select(key, F.explode(F.split(column, ",")).alias("item"))
 
 
+def candidate_file(cands: DataFrame, score: str = "cos") -> DataFrame:
+    """Candidates (with tp) with their label and the best score of each side."""
+    top = lambda key: F.max(score).over(Window.partitionBy(key))
+    return cands.withColumn("label", F.col("tp").cast("int")).withColumn("q_top1", top("qi")).withColumn("p_top1", top("pj"))
+
+
+def write_candidates(cands: DataFrame, path: str, meta: dict, score: str = "cos") -> DataFrame:
+    """The candidate file as Parquet, with its settings as JSON beside it."""
+    write_text(cands.sparkSession, f"{path}-meta", json.dumps(meta))
+    return save_stage(candidate_file(cands, score), path)
+
+
 def check_submission(entities: DataFrame, pool: DataFrame, matches: DataFrame, candidates: DataFrame) -> DataFrame:
     """One row of violations: entities missing or repeated, unknown ids, ids claimed twice, matches outside the candidates.
 
