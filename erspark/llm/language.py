@@ -172,6 +172,7 @@ def fit(labelled: DataFrame, sample: int = SAMPLE, k: int = CENTROIDS) -> Model
 
 def _predict(model: Model | None):
     def run(batches):
+        T.keep("", {})
         for b in batches:
             text = b.column("text")
             data, off = T.buffers(text)

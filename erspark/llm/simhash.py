@@ -62,6 +62,7 @@ def fingerprint(words: list[bytes], shingle: int, size: int = 1) -> np.ndarray:
 
 def _fingerprints(shingle: int, size: int):
     def run(batches):
+        T.keep("", {})
         for b in batches:
             data, off = T.buffers(b.column("text"))
             raw = data.tobytes().translate(T.LOWER_BYTES)

@@ -98,6 +98,7 @@ def _texts(batch):
 
 def _find_anchors(length: int, gram: int):
     def run(batches):
+        T.keep("", {})
         for b in batches:
             k1, k2 = b.column("k1").to_numpy(), b.column("k2").to_numpy()
             held, size = [], 0

@@ -6,6 +6,7 @@ slices of bounded bytes, so the memory of a task does not follow the batch size.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -53,6 +54,23 @@ def slices(offsets: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[int,
 
 
 _powers = {}
+_kept: dict[str, dict] = {}
+
+
+def keep(owner: str, state: dict) -> dict:
+    """Registers what an operator keeps in a worker between tasks, and frees other operators' state.
+
+    Workers are used again by later stages, which should not pay for earlier ones' memory.
+    """
+    for name in [n for n in _kept if n != owner]:
+        _kept.pop(name).clear()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except OSError:  # another C library gives memory back in its own time
+            pass
+    if owner:
+        _kept[owner] = state
+    return state
 
 
 def powers(n: int, base: int = BASE) -> np.ndarray:

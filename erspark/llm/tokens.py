@@ -188,6 +188,7 @@ _encoders: dict[str, BatchEncoder] = {}
 
 def encoder(path: str) -> BatchEncoder:
     """The worker's encoder of a file; the library's own threads stay off."""
+    T.keep("tokens", _encoders)
     if path not in _encoders:
         import os
 
