@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import atexit
 import gc
+import json
 import os
 import tempfile
 import uuid
@@ -25,8 +26,8 @@ BATCH_BYTES = 4 << 20
 def ship(spark: SparkSession) -> None:
     """Let Python workers find this package when only the driver's path has it, and keep their batches small."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    now = spark.conf.get(key, "")
-    if not now.rstrip("b").isdigit() or int(now.rstrip("b")) > BATCH_BYTES:
+    now = spark.conf.get(key).rstrip("b")
+    if not now.isdigit() or int(now) > BATCH_BYTES:
         spark.conf.set(key, f"{BATCH_BYTES}b")
     root = str(Path(__file__).resolve().parents[2])
     env = spark.sparkContext.environment
@@ -98,6 +99,12 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
+def literal_rows(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
+    """A few rows as a constant of the plan."""
+    made = F.from_json(F.lit(json.dumps(rows)), f"array<struct<{schema}>>")
+    return spark.range(1, numPartitions=1).select(F.inline(made))
+
+
 def apart(df: DataFrame) -> DataFrame:
     """A small aggregate dealt anew before a join with the rows it sums up.
 
