@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .store import literal_rows
+
 # Public licence texts without their copyright lines, which are dropped anyway.
 _MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
 
@@ -75,7 +77,7 @@ SPELLINGS = {
     "labour": "labor", "licence": "license", "maximise": "maximize", "modelled": "modeled", "modelling": "modeling",
     "offence": "offense", "optimise": "optimize", "organisation": "organization", "organise": "organize", "practise": "practice",
     "programme": "program", "realise": "realize", "recognise": "recognize", "signalling": "signaling", "utilisation": "utilization",
-    "whilst": "while", "wilful": "wilfull", "https": "http", "noncommercial": "non commercial", "sublicence": "sublicense",
+    "whilst": "while", "wilful": "willful", "https": "http", "noncommercial": "non commercial", "sublicence": "sublicense",
     "sub-licence": "sublicense", "sub-license": "sublicense", "owner": "holder", "owners": "holders",
 }
 
@@ -102,10 +104,28 @@ def digest(text):
 
 def known(spark: SparkSession, texts: list[tuple[str, str]] | None = None) -> DataFrame:
     """(digest, license) of known texts; one name where texts meet."""
-    rows = spark.createDataFrame(texts or TEXTS, "license string, text string")
+    rows = literal_rows(spark, [{"license": n, "text": t} for n, t in texts or TEXTS], "license: string, text: string")
     return rows.select(digest(F.col("text")).alias("digest"), "license").filter("digest is not null").groupBy("digest").agg(F.min("license").alias("license"))
 
 
+def needed_words(spark: SparkSession, texts: list[tuple[str, str]] | None = None) -> list[str]:
+    """A few words of which every known text has one, each as it must stand in any equal text.
+
+    No word that an equivalent spelling could stand for is taken, so a text without
+    any of them cannot have a known digest.
+    """
+    rows = literal_rows(spark, [{"text": t} for _, t in texts or TEXTS], "text: string").select(normalise(F.col("text")).alias("c")).collect()
+    altered = {*SPELLINGS, "sublicense", *(w for v in SPELLINGS.values() for w in v.split())}
+    open_ = [set(r["c"].split()) - altered for r in rows if r["c"]]
+    open_ = [{w for w in x if len(w) >= 8} or x for x in open_]  # long words are rare in other texts
+    out: list[str] = []
+    while open_:
+        best = max({w for x in open_ for w in x}, key=lambda w: (sum(w in x for x in open_), len(w), w), default="")
+        out.append(best)  # the empty word is in every text: then all are looked at
+        open_ = [x for x in open_ if best and best not in x] if best else []
+    return out
+
+
 def scan(docs: DataFrame, texts: list[tuple[str, str]] | None = None) -> DataFrame:
     """doc_id, digest, license of entire texts (null if unknown)."""
     found = docs.select("doc_id", digest(F.col("text")).alias("digest"))
@@ -120,7 +140,9 @@ def scan_with_notices(docs: DataFrame, texts: list[tuple[str, str]] | None = Non
     """
     table = known(docs.sparkSession, texts)
     names = F.create_map(*[F.lit(x) for r in sorted(table.collect()) for x in r])  # the fixed table, a few rows
-    found = F.coalesce(F.transform(F.split("text", "\n"), lambda x: F.element_at(names, digest(x))), F.array().cast("array<string>"))
+    words = F.array(*[F.lit(w) for w in needed_words(docs.sparkSession, texts)])
+    may = lambda x: F.exists(words, lambda w: F.contains(F.lower(x), w))
+    found = F.coalesce(F.transform(F.split("text", "\n"), lambda x: F.when(may(x), F.element_at(names, digest(x)))), F.array().cast("array<string>"))
     hits = docs.select("doc_id", digest(F.col("text")).alias("digest"), F.filter(found, lambda x: x.isNotNull()).alias("hits"))
     whole = hits.join(F.broadcast(table), "digest", "left")
     return whole.select("doc_id", "digest", "license", F.size("hits").cast("bigint").alias("n_notices"), F.array_join(F.array_sort(F.array_distinct("hits")), ",").alias("notices"))

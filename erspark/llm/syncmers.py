@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import partitions, range_bounds, range_bucket
+from .store import literal_rows, partitions, range_bounds, range_bucket
 
 K, S = 5, 2
 #: Anchor hashes in a fingerprint.
@@ -60,7 +60,8 @@ def _add(df: DataFrame, text: str, out: str) -> DataFrame:
 def anchors(docs: DataFrame) -> DataFrame:
     """doc_id, place (first word), hash of every closed syncmer of whole texts."""
     found = _add(docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text")), "text", "found")
-    return found.select("doc_id", F.inline("found"))
+    # The outer form keeps a filter on the anchors, and with it their steps, from being worked out again per row.
+    return found.select("doc_id", F.inline_outer("found"))
 
 
 def _sketch(found):
@@ -95,8 +96,8 @@ def with_next(docs: DataFrame) -> DataFrame:
     base = base.withColumn("part", range_bucket("doc_id", bounds))
     # One row per range, of which there are four times the shuffle partitions at most.
     tops = sorted((r["part"], r["top"]["doc_id"], r["top"]["tie"]) for r in base.groupBy("part").agg(F.max(F.struct("doc_id", "tie")).alias("top")).collect())
-    ghosts = [(p, d, t, tops[(i + 1) % len(tops)][0]) for i, (p, d, t) in enumerate(tops)]
-    heads = spark.createDataFrame(ghosts, "part int, top_id long, top_tie long, to int")
+    ghosts = [{"part": p, "top_id": d, "top_tie": t, "to": tops[(i + 1) % len(tops)][0]} for i, (p, d, t) in enumerate(tops)]
+    heads = literal_rows(spark, ghosts, "part: int, top_id: bigint, top_tie: bigint, to: int")
     marked = base.join(F.broadcast(heads), "part")
     is_head = F.col("doc_id").eqNullSafe(F.col("top_id")) & (F.col("tie") == F.col("top_tie"))
     home = F.struct(F.col("part").alias("part"), F.lit(False).alias("ghost"))
