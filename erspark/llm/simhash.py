@@ -35,7 +35,7 @@ SEED = 42
 #: Distinct fingerprints of a shard beyond which it is split.
 MAX_SHARD = 4096
 #: Rows that are linked in one go, unless one shard has more.
-LINKED = 200_000
+LINKED = 60_000
 
 
 def fingerprint(words: list[bytes], shingle: int, size: int = 1) -> np.ndarray:
@@ -119,6 +119,7 @@ SHARDS = "shard long, key long, node long, fp binary"
 
 def _deal(bands):
     def run(batches):
+        T.keep("", {})
         for b in batches:
             bits = _bits(_as_words(b.column("fp")))
             for k, band in enumerate(bands):
@@ -227,6 +228,7 @@ def _link(radius: int):
     """Links shards that arrive sorted, many small ones together."""
 
     def run(batches):
+        T.keep("", {})
         held = None
 
         def done(names, keys, nodes, fps):

@@ -64,12 +64,14 @@ def keep(owner: str, state: dict) -> dict:
     """
     for name in [n for n in _kept if n != owner]:
         _kept.pop(name).clear()
+    if owner:
+        _kept[owner] = state
+    else:
+        pa.default_memory_pool().release_unused()
         try:
             ctypes.CDLL("libc.so.6").malloc_trim(0)
         except OSError:  # another C library gives memory back in its own time
             pass
-    if owner:
-        _kept[owner] = state
     return state
 
 
