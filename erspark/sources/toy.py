@@ -37,7 +37,7 @@ def entities(spark: SparkSession, n: int, seed: int = 0, partitions: int | None
     place = F.when(country == "US", pick(PLACES["US"], key, "place")).otherwise(pick(PLACES["India"], key, "place"))
     return ids.select(
         F.col("id").alias("e"), country.alias("country"),
-        F.concat_ws(" ", pick(STEMS, own, "a"), pick(STEMS, own, "b"), pick(TRADES, own, "t"), pick(SUFFIXES, own, "s")).alias("name"),
+        F.trim(F.concat_ws(" ", pick(STEMS, own, "a"), pick(STEMS, own, "b"), pick(TRADES, own, "t"), pick(SUFFIXES, own, "s"))).alias("name"),
         F.concat_ws(" ", pick(STREETS, key, "st"), pick(KINDS, key, "kind")).alias("street"),
         (draw(key, "no", 1500) + 1).alias("number"), place.alias("place"), (draw(key, "zip", 899_999) + 100_000).alias("zip"),
         F.get(F.array(*[F.lit(x) for x in (0, 1, 2, 2, 3, 3, 4, 4, 5, 8)]), draw(key, "k", 10)).alias("k"),
