@@ -32,7 +32,7 @@ WINDOW = 10
 #: Text bytes of a segment, unless one document is longer.
 SEGMENT_BYTES = 4 << 20
 #: Benchmark bytes that are sent to the segments at once; larger ones take several searches.
-BENCHMARK_BYTES = 16 << 20
+BENCHMARK_BYTES = 1 << 20
 
 #: Bytes of words, after lower-casing A-Z: digits, a-z and all of other scripts.
 WORD_BYTE = np.zeros(256, bool)

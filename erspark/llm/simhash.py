@@ -288,5 +288,5 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, words: int = 1, radius: i
         lowest = classes.select("node", "first")
     else:
         of = classes.select("node", "first").join(named, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        lowest = of.join(of.groupBy("root").agg(F.min("first").alias("lowest")), "root").select("node", F.col("lowest").alias("first"))
+        lowest = of.join(apart(of.groupBy("root").agg(F.min("first").alias("lowest"))), "root").select("node", F.col("lowest").alias("first"))
     return fps.join(apart(lowest), "node").select("doc_id", "fp", F.col("first").alias("component_id"))
