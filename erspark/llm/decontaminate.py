@@ -39,6 +39,7 @@ WORD_BYTE = np.zeros(256, bool)
 WORD_BYTE[0x30:0x3A] = WORD_BYTE[0x61:0x7B] = WORD_BYTE[0x80:] = True
 
 INDEX = "segment long, doc_ids array<bigint>, n_words array<bigint>, terms binary, ends binary, postings binary"
+RESULT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans array<int>, items array<string>"
 HITS = "segment long, doc long, doc_id long, n_words long, spans array<int>, items array<string>"
 
 
@@ -239,13 +240,17 @@ def index(docs: DataFrame) -> DataFrame:
 
 
 def _parts(benchmark: DataFrame, limit: int):
-    """The benchmark in lists of (item, text) of about ``limit`` bytes, one at a time on the driver."""
+    """(number of parts, iterator): the benchmark in lists of (item, text) of about ``limit`` bytes, one at a time on the driver."""
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item"), "text").filter(F.col("text").isNotNull())
     size = items.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     n = max(1, -(-size // limit))
-    for i in range(n):
-        some = items if n == 1 else items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == i)
-        yield [(r["item"], r["text"]) for r in some.toLocalIterator()]
+
+    def parts():
+        for i in range(n):
+            some = items if n == 1 else items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == i)
+            yield [(r["item"], r["text"]) for r in some.toLocalIterator()]
+
+    return n, parts()
 
 
 def merge_spans(spans: list[int]) -> list[list[int]]:
@@ -274,17 +279,19 @@ def search(segments: DataFrame, benchmark: DataFrame, window: int = WINDOW, limi
 
     spans: word ranges [a, b) of the hits, flattened.
     """
-    found, several = None, False
-    for items in _parts(benchmark, limit):
+    n, parts = _parts(benchmark, limit)
+    found = None
+    for items in parts:
         query = Query(items, window)
         counts = segments.select("terms", "ends", "postings").mapInArrow(_frequency(query.terms), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")) if len(query.terms) else None
         query.rank({r["term"]: r["n"] for r in counts.collect()} if counts is not None else {})  # the benchmark's words only
-        hits = segments.mapInArrow(_search(query), HITS)
-        several = found is not None
-        found = found.unionByName(hits) if several else hits
-    if several:
-        found = found.groupBy("segment", "doc").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("items"))
-    return found.mapInArrow(_results, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans array<int>, items array<string>")
+        run = _search(query)
+        if n == 1:  # one function, so that a task needs one worker
+            return segments.mapInArrow(lambda batches, run=run: _results(run(batches)), RESULT)
+        hits = segments.mapInArrow(run, HITS)
+        found = hits if found is None else found.unionByName(hits)
+    found = found.groupBy("segment", "doc").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("items"))
+    return found.mapInArrow(_results, RESULT)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
