@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def exploded(rows: DataFrame, items: Column, *columns: str, name: str = "t") -> DataFrame:
+    """Columns and one row per item.
+
+    The outer form, since a plain explode adds a filter on the items that is pushed down
+    to where they are made, and makes them once more.
+    """
+    return rows.select(*columns, F.explode_outer(items).alias(name)).filter(F.col(name).isNotNull())
+
+
 def trigrams(c: Column) -> Column:
     """Distinct 3-grams of ' text '; none for an empty text."""
-    padded = F.concat(F.lit(" "), c, F.lit(" "))
-    grams = F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.substring(padded, i, F.lit(3)))
-    return F.when(F.length(c) > 0, F.array_distinct(grams)).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.regexp_extract_all(F.concat(F.lit(" "), c, F.lit(" ")), F.lit("(?s)(?=(...))"), F.lit(1)))
 
 
 def jaccard(a: Column, b: Column, empty: float | None = 0.0) -> Column:

@@ -136,7 +136,7 @@ def tfidf(rows: DataFrame, key: str, terms: Column, statistics: DataFrame | None
 
     statistics: rows with the same columns that idf is counted on; default the rows.
     """
-    counted = rows.select(key, "country", F.explode(terms).alias("term")).groupBy(key, "country", "term").agg(F.count("*").alias("c"))
+    counted = sets.exploded(rows, terms, key, "country", name="term").groupBy(key, "country", "term").agg(F.count("*").alias("c"))
     base = counted if statistics is None else statistics
     n = (rows if statistics is None else base).select("country", key).distinct().groupBy("country").agg(F.count("*").alias("n"))
     df = base.groupBy("country", "term").agg(F.count("*").alias("df")).filter(F.col("df") >= min_df)
@@ -163,9 +163,9 @@ def hashed_vectors(rows: DataFrame, key: str, terms: Column, buckets: int = 1 <<
 
 def inverted_index(q: DataFrame, p: DataFrame, tokens: Column, cap: int) -> DataFrame:
     """(qi, n_cand, ids found): union of the postings of each query's tokens with at most ``cap`` pool rows."""
-    postings = p.select("pj", "country", F.explode(F.array_distinct(tokens)).alias("t"))
+    postings = sets.exploded(p, F.array_distinct(tokens), "pj", "country")
     rare = postings.groupBy("country", "t").agg(F.count("*").alias("df")).filter(F.col("df") <= cap).select("country", "t")
-    return q.select("qi", "country", F.explode(F.array_distinct(tokens)).alias("t")).join(postings.join(rare, ["country", "t"]), ["country", "t"]).select("qi", "pj").distinct()
+    return sets.exploded(q, F.array_distinct(tokens), "qi", "country").join(postings.join(rare, ["country", "t"]), ["country", "t"]).select("qi", "pj").distinct()
 
 
 # Key blocking
@@ -175,7 +175,7 @@ SCHEMES = ("num_x_name4", "rarest_name_tok", "num_x_rarest_addr_tok")
 
 def _rarest(rows: DataFrame, key: str, tokens: Column, n: int, df: DataFrame) -> DataFrame:
     """key -> array of its n rarest tokens of a country; ties by token."""
-    each = rows.select(key, "country", F.explode(F.array_distinct(tokens)).alias("t")).join(df, ["country", "t"])
+    each = sets.exploded(rows, F.array_distinct(tokens), key, "country").join(df, ["country", "t"])
     order = Window.partitionBy(key).orderBy(F.col("df").asc(), F.col("t").asc())
     return each.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= n).groupBy(key).agg(F.collect_list("t").alias("rare"))
 
@@ -190,13 +190,13 @@ def block_keys(rows: DataFrame, key: str, scheme: str, df: DataFrame | None = No
     if scheme == "num_x_name4":
         stems = F.transform(F.filter(tx.core(F.col("nname")), lambda t: F.length(t) >= 2), lambda t: F.substring(tx.skeleton(t), 1, 4))
         pairs = F.flatten(F.transform(_longest(nums), lambda n: F.transform(stems, lambda s: F.concat_ws("|", F.col("country").cast("string"), n, s))))
-        return rows.select(key, F.explode(F.array_distinct(pairs)).alias("bk"))
+        return sets.exploded(rows, F.array_distinct(pairs), key, name="bk")
     if scheme == "rarest_name_tok":
         rare = _rarest(rows, key, name_skeletons(F.col("nname")), 2, df)
         return rows.select(key, "country").join(rare, key).select(key, F.explode(F.transform("rare", lambda t: F.concat_ws("|", F.col("country").cast("string"), t))).alias("bk"))
     rare = _rarest(rows, key, address_words(F.col("naddr")), 1, df)
     pairs = F.flatten(F.transform(nums, lambda n: F.transform("rare", lambda t: F.concat_ws("|", F.col("country").cast("string"), n, t))))
-    return rows.join(rare, key).select(key, F.explode(F.array_distinct(pairs)).alias("bk"))
+    return sets.exploded(rows.join(rare, key), F.array_distinct(pairs), key, name="bk")
 
 
 def name_skeletons(nname: Column) -> Column:
@@ -208,7 +208,7 @@ def address_words(naddr: Column) -> Column:
 
 
 def token_df(rows: DataFrame, tokens: Column) -> DataFrame:
-    return rows.select("country", F.explode(F.array_distinct(tokens)).alias("t")).groupBy("country", "t").agg(F.count("*").alias("df"))
+    return sets.exploded(rows, F.array_distinct(tokens), "country").groupBy("country", "t").agg(F.count("*").alias("df"))
 
 
 def key_join(qkeys: DataFrame, pkeys: DataFrame, cap: int = 200) -> DataFrame:

@@ -103,11 +103,16 @@ def fuzzy_number_features() -> dict[str, Column]:
     }
 
 
+def merged(pairs: DataFrame, left: str, right: str, out: str) -> DataFrame:
+    """Adds the weights of both sides' tokens as one map: a column of its own, worked out once per pair."""
+    a, b = F.col(left), F.col(right)
+    return pairs.withColumn(out, F.map_concat(a, F.map_filter(b, lambda k, _: ~F.map_contains_key(a, k))))
+
+
 def weighted_features() -> dict[str, Column]:
-    """Needs maps: wn (name tokens), wa (address tokens), tn, ta (trigrams) on a and b, and dn, da, dt defaults."""
+    """Needs columns wn and wa (``merged`` weights of name and address tokens) and their defaults dn and da."""
     a, b = F.col("a"), F.col("b")
-    name = sets.weight(F.map_concat(a["wn"], F.map_filter(b["wn"], lambda k, _: ~F.map_contains_key(a["wn"], k))), a["dn"])
-    addr = sets.weight(F.map_concat(a["wa"], F.map_filter(b["wa"], lambda k, _: ~F.map_contains_key(a["wa"], k))), a["da"])
+    name, addr = sets.weight(F.col("wn"), F.col("dn")), sets.weight(F.col("wa"), F.col("da"))
     both = ~a["empty_addr"] & ~b["empty_addr"]
     plain = lambda t: F.filter(t, lambda x: ~x.rlike(r"^\d+$"))
     rest = lambda x, y: F.array_except(x, y)

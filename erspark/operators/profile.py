@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.sets import exploded
+
 QUANTILES = [0.1, 0.25, 0.5, 0.75, 0.9]
 
 
@@ -71,7 +73,7 @@ def integrity(truth_pairs: DataFrame, entities: DataFrame, pool: DataFrame) -> D
 
 def top_tokens(rows: DataFrame, tokens: Column, n: int, *by: str) -> DataFrame:
     """(by..., t, c, rank): the n most frequent tokens, ties by token."""
-    counted = rows.select(*by, F.explode(tokens).alias("t")).groupBy(*by, "t").agg(F.count("*").alias("c"))
+    counted = exploded(rows, tokens, *by).groupBy(*by, "t").agg(F.count("*").alias("c"))
     order = (Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))).orderBy(F.col("c").desc(), F.col("t"))
     return counted.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= n)
 

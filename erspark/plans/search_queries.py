@@ -361,7 +361,7 @@ def weighted(v, column, min_df):
     none = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<double>"))
     for side, key in (("a", "qi"), ("b", "pj")):
         d = d.join(w.select(F.col("id").alias(key), F.col("w").alias(f"w{side}")), key, "left").withColumn(f"w{side}", F.coalesce(f"w{side}", none))
-    return d, sets.weight(F.map_concat("wa", F.map_filter("wb", lambda k, _: ~F.map_contains_key("wa", k))), F.col("dflt"))
+    return features.merged(d, "wa", "wb", "wm"), sets.weight(F.col("wm"), F.col("dflt"))
 
 
 @query("SELECT wa.qi, wa.pj, round(coalesce(wx.s, 0) / wa.s, 6) AS core_idf_q, round(coalesce(wx.s, 0) / wb.s, 6) AS core_idf_c FROM same JOIN wa USING (qi, pj) JOIN wb USING (qi, pj) LEFT JOIN wx USING (qi, pj)", "", f"{REC}, {SAME}, {WEIGHTS.format(col='ctok')}")
