@@ -203,23 +203,25 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, size
 
     found = ws.save(texts.select(*key, "text").mapInArrow(_find_anchors(length, gram), ANCHORS), "anchors")
     repeated = found.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
-    left = found.join(apart(repeated), "bucket").groupBy(*key).agg(F.collect_list(F.struct("place", "lo", "hi")).alias("spots"))
-    runs = ws.save(texts.select(*key, "text").join(left.hint("merge"), key).mapInArrow(_name_runs(length, size), RUNS), "runs")
+    # Lists are written before they meet the texts: by then the shuffles behind them are gone.
+    left = ws.save(found.join(apart(repeated), "bucket").groupBy(*key).agg(F.collect_list(F.struct("place", "lo", "hi")).alias("spots")), "left")
     ws.drop("anchors")
+    runs = ws.save(texts.select(*key, "text").join(left.hint("merge"), key).mapInArrow(_name_runs(length, size), RUNS), "runs")
+    ws.drop("left")
 
     reaches = runs.groupBy("core", "reach").agg(F.count("*").alias("n"), F.min(F.struct(*key, "place", "run")).alias("chosen"))
     cores = reaches.groupBy("core").agg(F.sum("n").alias("total"), F.max(F.col("n") == 1).alias("single"), F.count("*").alias("kinds")).filter("total > 1")
     judged = ws.save(reaches.join(cores, "core"), "judged")
     whole = runs.join(judged.filter("n > 1").select("core", "reach"), ["core", "reach"])
     # One member of each reach of a mixed bucket stands for all that are equal to it.
-    asked = judged.filter("single and kinds > 1").select("core", "chosen.*").groupBy(*key).agg(F.collect_list(F.struct("place", "run", "core")).alias("asked"))
+    asked = ws.save(judged.filter("single and kinds > 1").select("core", "chosen.*").groupBy(*key).agg(F.collect_list(F.struct("place", "run", "core")).alias("asked")), "asked")
     windows = ws.save(texts.select(*key, "text").join(asked.hint("merge"), key).mapInArrow(_name_windows(length, size), WINDOWS), "windows")
     equal = windows.groupBy("core", "name").agg(F.count("*").alias("n")).filter("n > 1").select("core", "name")
     single = windows.join(apart(equal), ["core", "name"]).select(*key, F.col("start").alias("lo"), F.col("start").alias("hi"))
 
     full = whole.select(*key, (F.col("place") - F.col("run") * size - (size - 1)).alias("lo"), (F.col("place") - F.col("run") * size).alias("hi"))
     marks = ws.save(full.unionByName(single).groupBy(*key).agg(F.collect_set(F.struct("lo", "hi")).alias("marks")), "marks")
-    ws.drop("runs", "judged", "windows")
+    ws.drop("runs", "judged", "asked", "windows")
     clipped = texts.join(marks.hint("merge"), key, "left").withColumn(
         "marks",
         F.transform("marks", lambda m: F.struct(F.greatest(m["lo"], F.lit(0)).alias("lo"), F.least(m["hi"], F.octet_length("text") - length).alias("hi"))),
