@@ -7,8 +7,12 @@ Equal fingerprints are one tree node. A tree of all fingerprints has no size bou
 would allow a broadcast, so trees are built per shard: fingerprints that agree on a band
 of bits. With ``radius + 1`` disjoint bands every link lies in a shard (some band has no
 differing bit); a shard over ``MAX_SHARD`` is split by the same argument on its other
-bits. Where a similarity of shingle sets is asked for, wide fingerprints have a radius
-that follows from it and many random bands, enough for the recall of ``bands_for``.
+bits. Where a similarity of shingle sets is asked for, fingerprints are those of the sets
+(repeats of a shingle do not count) and only propose pairs: wide ones have a radius that
+follows from it and many random bands, enough for the recall of ``bands_for``. A pair
+links if the exact Jaccard of its shingle sets is at least the similarity. First the
+forest of each shard is compared, then all other near pairs that these links leave in
+different components.
 
 In a BK-tree a child hangs at its distance to the parent, and a search follows only the
 edges within the radius of the query's distance. Subtrees whose members are all linked
@@ -38,18 +42,28 @@ MAX_SHARD = 4096
 LINKED = 60_000
 
 
-def fingerprint(words: list[bytes], shingle: int, size: int = 1) -> np.ndarray:
-    """``size`` 64-bit words over all shingles of ``shingle`` words, repeats included."""
+def shingles(words: list[bytes], shingle: int) -> np.ndarray:
+    """Hashes of all shingles of ``shingle`` words; fewer words are one shingle."""
     import xxhash
 
     digest = xxhash.xxh64_intdigest
     if not words:
-        return np.zeros(size, np.uint64)
+        return np.zeros(0, np.uint64)
     if len(words) <= shingle:
         hashes = [digest(b" ".join(words), SEED)]
     else:
         hashes = [digest(x, SEED) for x in map(b" ".join, zip(*(words[i:] for i in range(shingle)), strict=False))]
-    h = np.array(hashes, np.uint64)
+    return np.array(hashes, np.uint64)
+
+
+def fingerprint(words: list[bytes], shingle: int, size: int = 1) -> np.ndarray:
+    """``size`` 64-bit words over all shingles of ``shingle`` words, repeats included."""
+    return of_hashes(shingles(words, shingle), size)
+
+
+def of_hashes(h: np.ndarray, size: int = 1) -> np.ndarray:
+    if not len(h):
+        return np.zeros(size, np.uint64)
     total = np.zeros(64 * size, np.int64)
     for a in range(0, len(h), 255):  # counts up to 255 fit a byte, which keeps the sums vectorised
         part = h[a : a + 255, None]
@@ -72,6 +86,58 @@ def _fingerprints(shingle: int, size: int):
     return run
 
 
+def _set_fingerprints(shingle: int, size: int):
+    """Fingerprints of shingle sets, and a name of the set."""
+    import xxhash
+
+    def run(batches):
+        T.keep("", {})
+        for b in batches:
+            data, off = T.buffers(b.column("text"))
+            raw = data.tobytes().translate(T.LOWER_BYTES)
+            found, node = [], []
+            for i in range(len(off) - 1):
+                h = np.unique(shingles(raw[off[i] : off[i + 1]].split(), shingle))
+                found.append(of_hashes(h, size).astype(">u8").tobytes())
+                node.append(xxhash.xxh64_intdigest(h.astype("<u8").tobytes()))
+            node = pa.array(np.array(node, np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("source"), node, pa.array(found, pa.binary())], ["doc_id", "source", "node", "fp"])
+
+    return run
+
+
+def _sets(shingle: int):
+    def run(batches):
+        T.keep("", {})
+        for b in batches:
+            data, off = T.buffers(b.column("text"))
+            raw = data.tobytes().translate(T.LOWER_BYTES)
+            sets = [np.unique(shingles(raw[off[i] : off[i + 1]].split(), shingle)).astype("<u8").tobytes() for i in range(len(off) - 1)]
+            yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(sets, pa.binary())], ["node", "shingles"])
+
+    return run
+
+
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """Of two sets, as ascending arrays; 1 if both are empty."""
+    if not len(a) or not len(b):
+        return float(len(a) == len(b))
+    both = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
+    return both / (len(a) + len(b) - both)
+
+
+def _alike(similarity: float):
+    def run(batches):
+        T.keep("", {})
+        for b in batches:
+            (x, at), (y, to) = T.buffers(b.column("x")), T.buffers(b.column("y"))
+            x, y, at, to = np.frombuffer(x.tobytes(), "<u8"), np.frombuffer(y.tobytes(), "<u8"), at // 8, to // 8
+            alike = [jaccard(x[at[i] : at[i + 1]], y[to[i] : to[i + 1]]) >= similarity for i in range(len(at) - 1)]
+            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(alike, pa.bool_()))
+
+    return run
+
+
 def even_bands(bits: int, n: int) -> list[np.ndarray]:
     """n disjoint bands, as bit numbers, that cover the bits."""
     return np.array_split(np.arange(bits), n)
@@ -94,7 +160,7 @@ def bands_for(similarity: float, n: int, bits: int, recall: float = 0.985) -> li
     return random_bands(bits, int(np.ceil(np.log(1 - recall) / np.log(1 - share))), width)
 
 
-def radius_for(similarity: float, bits: int, deviations: float = 1.5) -> int:
+def radius_for(similarity: float, bits: int, deviations: float = 3) -> int:
     """Differing bits that pairs of at least the similarity stay within, but for chance."""
     p = 1 - agreement(similarity)
     return int(bits * p + deviations * np.sqrt(bits * p * (1 - p)))
@@ -168,10 +234,12 @@ def labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return label
 
 
-def link(group: np.ndarray, fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest (root, member) of the links within each group, of all trees at once.
+def near(group: np.ndarray, fps: np.ndarray, radius: int, known: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, label): near pairs within each group, of all trees at once.
 
-    group: ascending numbers of the shards that the fingerprints belong to.
+    group: ascending numbers of the shards that the fingerprints belong to. Without
+    ``known`` the pairs span each component of near ones, which label names; with it, they
+    are all near pairs that it labels differently.
     """
     n, span = len(group), 64 * fps.shape[1] + 1
     parent, edge = np.full(n, -1), np.zeros(n, np.int64)
@@ -186,13 +254,16 @@ def link(group: np.ndarray, fps: np.ndarray, radius: int) -> tuple[np.ndarray, n
         rest, of = rest[~head], of[~head]
         d = distance(fps[rest], fps[of])
         close = d <= radius
-        near_a.append(of[close])
-        near_b.append(rest[close])
+        if known is None:
+            near_a.append(of[close])
+            near_b.append(rest[close])
         parent[rest], edge[rest] = of, d
         key = of * span + d
         order = np.argsort(key, kind="stable")
         rest, label = rest[order], key[order]
-    joined = labels(n, np.concatenate([*near_a, np.empty(0, np.int64)]), np.concatenate([*near_b, np.empty(0, np.int64)]))
+    z = np.empty(0, np.int64)
+    near_a, near_b = np.concatenate([*near_a, z]), np.concatenate([*near_b, z])
+    joined = labels(n, near_a, near_b) if known is None else known
     low, high = joined.copy(), joined.copy()
     for node in reversed(levels[1:]):
         np.minimum.at(low, parent[node], low[node])
@@ -218,30 +289,48 @@ def link(group: np.ndarray, fps: np.ndarray, radius: int) -> tuple[np.ndarray, n
             times = hi - lo
             at = child[np.repeat(lo - np.cumsum(times) + times, times) + np.arange(times.sum())]
             q = np.repeat(q, times)
-    z = np.empty(0, np.int64)
-    joined = labels(n, np.concatenate([*near_a, *more_a, z]), np.concatenate([*near_b, *more_b, z]))
-    member = np.flatnonzero(joined != np.arange(n))
+    more_a, more_b = np.concatenate([*more_a, z]), np.concatenate([*more_b, z])
+    if known is not None:
+        return more_a, more_b, known
+    # One pair a member of those met on insertion, and of all others one for two components that those leave.
+    _, first = np.unique(near_b, return_index=True)
+    all_a, all_b = np.concatenate([near_a, more_a]), np.concatenate([near_b, more_b])
+    part = labels(n, near_a[first], near_b[first])
+    ends = np.sort(np.stack([part[all_a], part[all_b]]), axis=0)
+    other = np.flatnonzero(ends[0] != ends[1])
+    _, once = np.unique(ends[0][other] * (n + 1) + ends[1][other], return_index=True)
+    other = other[once]
+    return np.concatenate([near_a[first], all_a[other]]), np.concatenate([near_b[first], all_b[other]]), labels(n, all_a, all_b)
+
+
+def link(group: np.ndarray, fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest (root, member) of the links within each group."""
+    joined = near(group, fps, radius)[2]
+    member = np.flatnonzero(joined != np.arange(len(group)))
     return joined[member], member
 
 
-def _link(radius: int):
-    """Links shards that arrive sorted, many small ones together."""
+def _link(radius: int, find=link, extra: tuple = ()):
+    """Links shards that arrive sorted, many small ones together.
+
+    ``find`` also gets the columns named in ``extra``.
+    """
 
     def run(batches):
         T.keep("", {})
         held = None
 
-        def done(names, keys, nodes, fps):
+        def done(names, keys, nodes, fps, *more):
             change = np.append(True, (names[1:] != names[:-1]) | (keys[1:] != keys[:-1]))
             group = np.cumsum(change)
             size = np.bincount(group)[group]
             some = size > 1
-            a, b = link(group[some], fps[some], radius)
+            a, b = find(group[some], fps[some], radius, *(x[some] for x in more))[:2]
             node = nodes[some]
             return pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], ["a", "b"])
 
         for x in batches:
-            now = (x.column("shard").to_numpy(), x.column("key").to_numpy(), x.column("node").to_numpy(), _as_words(x.column("fp")))
+            now = (x.column("shard").to_numpy(), x.column("key").to_numpy(), x.column("node").to_numpy(), _as_words(x.column("fp")), *(x.column(c).to_numpy() for c in extra))
             held = now if held is None else tuple(np.concatenate(p) for p in zip(held, now, strict=True))
             if len(held[0]) > LINKED:
                 last = np.flatnonzero((held[0] != held[0][-1]) | (held[1] != held[1][-1]))
@@ -260,30 +349,81 @@ def fingerprints(docs: DataFrame, shingle: int = 3, words: int = 1) -> DataFrame
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(_fingerprints(shingle, words), "doc_id long, fp binary")
 
 
+def set_fingerprints(docs: DataFrame, shingle: int, words: int) -> DataFrame:
+    """doc_id, source (a text's hash), node (its shingle set's), fp of that set."""
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("source"), "text")
+    return rows.mapInArrow(_set_fingerprints(shingle, words), "doc_id long, source long, node long, fp binary")
+
+
+def _shards(classes: DataFrame, bands, radius: int, exact: bool, ws: Workspace, name: str) -> DataFrame:
+    """Rows (shard, key, node, fp) of fingerprints that agree on a band; large shards are split."""
+    shards = ws.save(classes.mapInArrow(_deal(bands), SHARDS), name)
+    large = ws.save(shards.groupBy("shard", "key").agg(F.count("*").alias("n")).filter(F.col("n") > MAX_SHARD).select("shard", "key"), f"{name}-large")
+    if not large.isEmpty():
+        finer = shards.join(large, ["shard", "key"]).select("shard", "key", "node", "fp").mapInArrow(_split(bands, radius, exact), SHARDS)
+        shards = shards.join(large, ["shard", "key"], "left_anti").select("shard", "key", "node", "fp").unionByName(finer)
+    return shards
+
+
+def _pairs(shards: DataFrame, *link_args) -> DataFrame:
+    """Distinct (a, b), a < b, that the shards propose."""
+    alone = shards.repartition("shard", "key").sortWithinPartitions("shard", "key", "node")
+    found = alone.mapInArrow(_link(*link_args), "a long, b long")
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _similar(docs: DataFrame, fps: DataFrame, shards: DataFrame, radius: int, bands, shingle: int, similarity: float, ws: Workspace) -> DataFrame | None:
+    """(node, root) of the links of at least the similarity; None if there are none."""
+    tried = ws.save(_pairs(shards, radius, near), "tried")
+    ws.drop("shards")
+    some = ws.save(tried.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "proposed")
+    # The sets of proposed texts only, one text of each.
+    chosen = fps.join(apart(some), "node").groupBy("node").agg(F.min("source").alias("source"))
+    texts = docs.select(F.xxhash64("text").alias("source"), "text").join(apart(chosen), "source").dropDuplicates(["source"])
+    sets = ws.save(texts.select("node", "text").mapInArrow(_sets(shingle), "node long, shingles binary"), "sets")
+
+    def alike(pairs: DataFrame) -> DataFrame:
+        x, y = (apart(sets.select(F.col("node").alias(n), F.col("shingles").alias(c))) for n, c in (("a", "x"), ("b", "y")))
+        return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_alike(similarity), "a long, b long")
+
+    edges = ws.save(alike(tried), "edges")
+    named = components(edges, ws)
+    root = F.col("node") if named is None else F.coalesce("root", "node")
+    classes = fps.select("node", "fp").join(apart(some), "node").distinct()
+    again = _shards(classes, bands, radius, False, ws, "shards-again")
+    known = some.withColumn("root", F.col("node")) if named is None else some.join(named, "node", "left").select("node", root.alias("root"))
+    again = again.join(apart(known), "node").select("shard", "key", "node", "fp", "root")
+    rest = ws.save(_pairs(again, radius, near, ("root",)).join(tried, ["a", "b"], "left_anti"), "rest")
+    more = ws.save(alike(rest), "more")
+    if more.isEmpty():
+        return named
+    return components(edges.unionByName(more), Workspace(docs.sparkSession, "simhash-links"))
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 3, words: int = 1, radius: int = 2, similarity: float | None = None) -> DataFrame:
     """doc_id, fp, component_id: the smallest id that links reach.
 
-    With a similarity, the radius and the bands follow from it and from the number of
-    different fingerprints; without, the radius is exact.
+    With a similarity, links are pairs of shingle sets of at least that Jaccard, proposed
+    by a radius and bands that follow from it and from the number of different sets;
+    without, the radius is exact.
     """
     ws = Workspace(docs.sparkSession, "simhash")
     bits = 64 * words
-    node = F.conv(F.hex("fp"), 16, -10).cast("long") if words == 1 else F.xxhash64("fp")
-    fps = ws.save(fingerprints(docs, shingle, words).withColumn("node", node), "fingerprints")
-    classes = fps.groupBy("node", "fp").agg(F.min("doc_id").alias("first"))
     if similarity is None:
+        node = F.conv(F.hex("fp"), 16, -10).cast("long") if words == 1 else F.xxhash64("fp")
+        fps = ws.save(fingerprints(docs, shingle, words).withColumn("node", node), "fingerprints")
         bands = even_bands(bits, radius + 1)
     else:
+        fps = ws.save(set_fingerprints(docs, shingle, words), "fingerprints")
         radius, bands = radius_for(similarity, bits), bands_for(similarity, fps.agg(F.approx_count_distinct("node")).first()[0], bits)
-    shards = ws.save(classes.mapInArrow(_deal(bands), SHARDS), "shards")
-    large = ws.save(shards.groupBy("shard", "key").agg(F.count("*").alias("n")).filter(F.col("n") > MAX_SHARD).select("shard", "key"), "large")
-    if not large.isEmpty():
-        finer = shards.join(large, ["shard", "key"]).select("shard", "key", "node", "fp").mapInArrow(_split(bands, radius, similarity is None), SHARDS)
-        shards = shards.join(large, ["shard", "key"], "left_anti").select("shard", "key", "node", "fp").unionByName(finer)
-    alone = shards.repartition("shard", "key").sortWithinPartitions("shard", "key", "node")
-    edges = ws.save(alone.mapInArrow(_link(radius), "a long, b long").distinct(), "edges")
-    ws.drop("shards")
-    named = components(edges, ws)
+    classes = fps.groupBy("node", "fp").agg(F.min("doc_id").alias("first"))
+    shards = _shards(classes, bands, radius, similarity is None, ws, "shards")
+    if similarity is None:
+        edges = ws.save(_pairs(shards, radius), "edges")
+        ws.drop("shards")
+        named = components(edges, ws)
+    else:
+        named = _similar(docs, fps, shards, radius, bands, shingle, similarity, ws)
     if named is None:
         lowest = classes.select("node", "first")
     else:

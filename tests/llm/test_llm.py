@@ -237,6 +237,45 @@ def test_similarity_mode_recall(spark):
     assert all(got[d] // 2 == d // 2 for d in got)
 
 
+def test_similarity_is_exact(spark):
+    """Links join texts of a shingle Jaccard of 0.8 or more, and no others; repeats do not count."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    rows, want = [], []
+    for g, same in enumerate([179, 170, 165, 150] * 40):  # of 200 shingles; 0.81, 0.74, 0.70, 0.60
+        a = [word() for _ in range(204)]
+        b = a[: same + 4] + [word() for _ in range(200 - same)]
+        rows += [(2 * g, " ".join(a)), (2 * g + 1, " ".join(b))]
+        want.append(same / (400 - same) >= 0.8)
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(spark.createDataFrame(rows, SCHEMA), 5, 4, similarity=0.8).collect()}
+    linked = [got[2 * g + 1] == 2 * g for g in range(len(want))]
+    assert all(w for x, w in zip(linked, want, strict=True) if x)
+    assert sum(linked) >= 0.95 * sum(want)
+    part = [word() for _ in range(40)]
+    extra = [word() for _ in range(3)]
+    rows = [(1, " ".join(part * 6 + extra)), (2, " ".join(part * 2 + extra)), (3, None), (4, "")]
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(spark.createDataFrame(rows, SCHEMA), 5, 4, similarity=0.8).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 3}
+
+
+def test_near_pairs_span_and_rest():
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 2**63, (5, 4), dtype=np.uint64)
+    fps = base[rng.integers(0, 5, 120)]
+    for i in range(120):
+        fps[i] ^= np.left_shift(np.uint64(1), rng.integers(0, 64, 4).astype(np.uint64)) * rng.integers(0, 2, 4).astype(np.uint64)
+    group = np.sort(rng.integers(0, 3, 120))
+    close = {(i, j) for i in range(120) for j in range(i) if group[i] == group[j] and simhash.distance(fps[i : i + 1], fps[j : j + 1])[0] <= 3}
+    a, b, label = simhash.near(group, fps, 3)
+    span = {(max(x), min(x)) for x in zip(a.tolist(), b.tolist(), strict=True)}
+    assert span <= close and {x for p in span for x in p} == {x for p in close for x in p}
+    z = np.array(sorted(span))
+    assert (simhash.labels(120, z[:, 0], z[:, 1]) == label).all()
+    known = rng.integers(0, 4, 120)
+    a, b, _ = simhash.near(group, fps, 3, known)
+    assert {(max(x), min(x)) for x in zip(a.tolist(), b.tolist(), strict=True)} == {(i, j) for i, j in close if known[i] != known[j]}
+
+
 def test_components(spark):
     ws = Workspace(spark, "graph")
     rng = random.Random(6)
