@@ -270,7 +270,7 @@ def ivf(q: DataFrame, p: DataFrame, k: int, probes: int = 8, list_size: int = 10
     return ranked(scored, "qi", "pj", k)
 
 
-def lsh(q: DataFrame, p: DataFrame, k: int, dimensions: int, tables: int = 16, bits: int = 6, seed: int = 0) -> DataFrame:
+def lsh(q: DataFrame, p: DataFrame, k: int, dimensions: int, tables: int = 64, bits: int = 5, seed: int = 0) -> DataFrame:
     """Top-k among rows that share a hash of random hyperplanes in some table, scores exact."""
     planes = np.random.default_rng(seed).standard_normal((tables, bits, dimensions))
 

@@ -86,7 +86,9 @@ def lsh_topk(v):
 @query()
 def ann_impact(v):
     exact = blocking.knn(v.vec_q, v.vec_p, 10)
-    return diagnostics.overlap_at(exact, blocking.ivf(v.vec_q, v.vec_p, 10, probes=2, list_size=8), [1, 5, 10]).withColumn("overlap", r6("overlap"))
+    found = {"ivf": blocking.ivf(v.vec_q, v.vec_p, 10, probes=2, list_size=8), "lsh": blocking.lsh(v.vec_q, v.vec_p, 10, 64)}
+    out = [diagnostics.overlap_at(exact, d, [1, 5, 10]).select(F.lit(name).alias("index"), "topk", r6("overlap").alias("overlap")) for name, d in found.items()]
+    return out[0].unionByName(out[1])
 
 
 VS = f"{SCORED}, {FWD}, vs AS (SELECT f.qi, f.pj, round(f.cos * 0.5 + 0.5, 9) AS p, p.src, p.e FROM fwd f JOIN vec_p p USING (pj)), sib AS (SELECT a.qi, a.pj, a.src, b.pj AS opj, b.p AS op, b.src AS osrc, list_inner_product(CAST(a.e AS DOUBLE[]), CAST(b.e AS DOUBLE[])) AS c FROM vs a JOIN vs b ON a.qi = b.qi AND a.pj <> b.pj)"

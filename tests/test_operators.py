@@ -83,6 +83,19 @@ def test_search_backends_agree(spark, data):
     assert len(near & {(q, p) for q, p, _ in exact}) / len(exact) > 0.3
 
 
+def test_approximate_recall(spark):
+    """Unclustered vectors and 40 lists, where few probes are not enough."""
+    rng = np.random.default_rng(5)
+    e = rng.standard_normal((440, 64))
+    e /= np.linalg.norm(e, axis=1, keepdims=True)
+    rows = [(i, "x", x) for i, x in enumerate(e.tolist())]
+    q = spark.createDataFrame(rows[:120], "qi long, country string, e array<double>")
+    p = spark.createDataFrame(rows[120:], "pj long, country string, e array<double>")
+    exact = {(r.qi, r.pj) for r in blocking.knn(q, p, 10).collect()}
+    for found in (blocking.lsh(q, p, 10, 64),):
+        assert len({(r.qi, r.pj) for r in found.collect()} & exact) >= 0.9 * len(exact)
+
+
 def test_block_holds_both_sides(spark, data):
     v = Views(spark, data)
     both = {(r.qi, r.pj): (r.fwd_rank, r.rev_rank) for r in blocking.block(v.vec_q, v.vec_p).collect()}
