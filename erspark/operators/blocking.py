@@ -256,14 +256,30 @@ def fit_lists(p: DataFrame, list_size: int = 1024, sample: int = 20_000, seed: i
     return {c: kmeans_lists(np.stack(g.e.to_numpy()).astype(np.float64), min(len(g), max(1, sizes[c] // list_size)), seed=seed) for c, g in some.groupby("country")}
 
 
-def ivf(q: DataFrame, p: DataFrame, k: int, probes: int = 8, list_size: int = 1024, centroids: dict | None = None) -> DataFrame:
+def probes_for(q: DataFrame, p: DataFrame, k: int, centroids: dict, recall: float, sample: int = 500) -> int:
+    """Lists to probe for a recall at k, from the exact neighbours of at most ``sample`` queries (by a hash of the id)."""
+    some = q.orderBy(F.xxhash64("qi"), "qi").limit(sample)
+    exact = knn(some, p, k).select("qi", "pj").join(some.select("qi", "country", F.col("e").alias("a")), "qi").join(p.select("pj", F.col("e").alias("b")), "pj")
+    need = []
+    for r in exact.select("country", "a", "b").collect():
+        c = centroids[r["country"]]
+        own = int((c @ np.asarray(r["b"], np.float64)).argmax())
+        need.append(int(np.flatnonzero(np.argsort(-(c @ np.asarray(r["a"], np.float64)), kind="stable") == own)[0]) + 1)
+    return sorted(need)[max(0, int(np.ceil(recall * len(need))) - 1)] if need else 1
+
+
+def ivf(q: DataFrame, p: DataFrame, k: int, probes: int = 8, list_size: int = 1024, centroids: dict | None = None, recall: float | None = None) -> DataFrame:
     """Top-k among the pool rows of the nearest lists, scores exact; every row is indexed.
 
-    With too few lists for the probes to save anything, every list is probed (exact).
+    With too few lists for the probes to save anything, every list is probed (exact). With
+    a recall, at least as many lists are probed as it takes on a sample of the queries.
     """
     centroids = fit_lists(p, list_size) if centroids is None else centroids
     most = max((len(c) for c in centroids.values()), default=1)
-    n = most if most < 4 * probes else probes
+    if recall is None:
+        n = most if most < 4 * probes else probes
+    else:
+        n = min(most, max(probes, probes_for(q, p, k, centroids, recall)))
     at = p.withColumn("list", F.element_at(_nearest_lists(centroids, 1)("country", "e"), 1))
     asked = q.withColumn("list", F.explode(_nearest_lists(centroids, n)("country", "e")))
     scored = asked.alias("q").join(at.alias("p"), ["country", "list"]).select("qi", "pj", "country", sets.dot(F.col("q.e"), F.col("p.e")).alias("cos"))

@@ -92,7 +92,7 @@ def test_approximate_recall(spark):
     q = spark.createDataFrame(rows[:120], "qi long, country string, e array<double>")
     p = spark.createDataFrame(rows[120:], "pj long, country string, e array<double>")
     exact = {(r.qi, r.pj) for r in blocking.knn(q, p, 10).collect()}
-    for found in (blocking.lsh(q, p, 10, 64),):
+    for found in (blocking.ivf(q, p, 10, probes=2, list_size=8, recall=0.95), blocking.lsh(q, p, 10, 64)):
         assert len({(r.qi, r.pj) for r in found.collect()} & exact) >= 0.9 * len(exact)
 
 
