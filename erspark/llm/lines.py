@@ -10,13 +10,14 @@ or more. The run of m lines from i is named by rank_k(i) and rank_k(i + m - 2**k
 spans overlap and cover it. Within an interval the first run in order of (doc_id, line)
 stays, and later copies are deleted.
 
-Runs of at least ``min_chars`` code points count. It is enough to ask, per position, for
+Runs of at least ``min_chars`` code points count; by default that is every run with a
+line that is not blank. It is enough to ask, per position, for
 the shortest such run that starts there and the shortest one that ends there: a longer
 repeated run is the union of those inside it.
 
 Null and empty texts have no lines and stay as they are. Rows with equal id and text are
-one place in the order, so they keep the same lines. Null ids come last. Blank lines are
-ordinary lines of length 0. An empty table gives an empty result.
+one place in the order, so they keep the same lines. Null ids come last. Blank lines (of
+white space) are ordinary lines of length 0. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,7 +31,9 @@ from . import text as T
 from .store import Workspace, apart, partitions
 
 #: Code points of a run from which later copies are deleted.
-MIN_CHARS = 100
+MIN_CHARS = 1
+
+_SPACE = np.frombuffer(b"\t\n\v\f\r ", np.uint8)
 
 LINES = "doc_id long, key long, line int, h1 long, h2 long, forward int, back int"
 
@@ -64,7 +67,8 @@ def _lines(least: int):
                 inside = np.searchsorted(breaks, o)
                 row = np.repeat(some, np.diff(inside)[some] + 1)  # a text has a line more than breaks
                 points = np.append(0, np.cumsum((part & 0xC0) != 0x80))
-                size = points[ends] - points[starts]
+                ink = np.append(0, np.cumsum(~np.isin(part, _SPACE)))
+                size = np.where(ink[ends] > ink[starts], points[ends] - points[starts], 0)
                 first = np.searchsorted(row, some)
                 last = np.append(first[1:], len(row))
                 forward, back, line = np.zeros(len(row), np.int64), np.zeros(len(row), np.int64), np.zeros(len(row), np.int64)

@@ -316,6 +316,16 @@ def test_line_dedup(spark, least):
     assert Counter((r.doc_id, r.n_lines, r.n_removed, r.kept or "") for r in got.collect()) == python_lines(rows, least)
 
 
+def test_every_repeated_line_goes(spark):
+    rng = random.Random(15)
+    some = ["a", "}", "short line", "", "", "a line of thirty characters..."]
+    rows = [(i, "\n".join(rng.choice(some) for _ in range(rng.randint(0, 7)))) for i in range(60)]
+    got = lines.dedup_lines(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert Counter((r.doc_id, r.n_lines, r.n_removed, r.kept or "") for r in got) == python_lines(rows, 1)
+    blank = spark.createDataFrame([(1, "one\n  \ntwo"), (2, "three\n  \nfour"), (3, "two\n  \nfive")], SCHEMA)
+    assert {r.doc_id: r.kept for r in lines.dedup_lines(blank).collect()} == {1: "one\n  \ntwo", 2: "three\n  \nfour", 3: "  \nfive"}
+
+
 def test_line_edges(spark, edges, empty):
     rows = lines.dedup_lines(edges).collect()
     assert len(rows) == len(EDGES)
