@@ -3,19 +3,25 @@
 A byte goes if a string of ``LENGTH`` bytes that covers it also starts anywhere else.
 
 A suffix array of every byte needs several times the corpus in space, so suffixes are
-sampled at anchors: in each window of ``LENGTH`` bytes, the place of the smallest q-gram
-hash. Equal windows have equal anchors at equal places, so no repeat is missed.
-
-1. Initial buckets: anchors with equal q-grams. Buckets of one member are done.
-2. Anchors that are left refine their bucket by identifiers of the text around them, for
-   runs of ``RUN`` windows at a time: the bytes common to a run (its core) and all its
-   bytes (its reach). A core of its own means that no window of the run repeats; a reach
-   that stands elsewhere means that all do.
-3. Runs that are still mixed, which lie where copies end, are refined window by window;
-   results of earlier rounds stand in for all other members of a bucket.
+sampled: in each window of ``WINDOW`` bytes, the place of the smallest hash of ``GRAM``
+bytes. Equal strings have their samples at equal places, so no repeat is missed: the
+samples of a string that can be told from the string alone are a chain from the one of
+its first window to the last whose ``WINDOW`` bytes still lie inside.
+
+1. Initial buckets: suffixes with equal first ``WINDOW`` bytes (the q-gram; samples lie
+   closer together than that, so the grams of a chain leave no byte out).
+2. Refinement: a bucket is sorted on the distance to, and the bucket identifier of, the
+   suffix at the next sampled offset. Identifiers that this gives stand for two samples,
+   and the next round reads them at the offset of the second next one: updates are used
+   again, so a round doubles the depth. Suffixes alone in their bucket are done, and
+   rounds end when no chain of samples within ``LENGTH`` is longer.
+3. The windows (strings of ``LENGTH``) with one chain are a run; its name is the bucket
+   identifiers at both ends of the chain. All bytes of a run that stand elsewhere mean
+   that all its windows repeat. Runs whose neighbours in the bucket differ, which lie
+   where copies end, are compared window by window; one run stands for all equal ones.
 
 Buckets are counted with partial aggregation, so a bucket may hold any share of the rows.
-Strings are compared by 64-bit identifiers, the final ones by two of them together.
+Grams and strings are compared by 64-bit identifiers, the final ones by two of them.
 Texts are UTF-8 bytes; null is empty; rows with equal ids or texts count each; texts
 shorter than ``LENGTH`` are never touched, nor is an empty table.
 """
@@ -26,22 +32,23 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401  makes pa.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as T
-from .store import Workspace, apart
+from .store import Workspace, apart, partitions
 
 LENGTH = 400
-#: Bytes of the grams that choose anchors and name the first buckets.
-GRAM = 32
-#: Windows that are judged at once in the second round.
-RUN = 32
+#: Bytes of which one suffix is sampled, and that name the first buckets.
+WINDOW = 160
+#: Bytes whose hash chooses the sample.
+GRAM = 24
 _POSITION = 22
 
 
 def anchors(data: np.ndarray, prefix: np.ndarray, length: int, gram: int):
-    """(place, first window, last window, bucket) of one text's anchors."""
+    """(place, first window, last window, hash) of the samples of one text's windows of ``length``."""
     n, w = len(data), length - gram + 1
     m = n - gram + 1
     at = np.arange(m)
@@ -73,9 +80,14 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(behind[: n - w + 1], ahead[w - 1 : n])
 
 
-ANCHORS = "k1 long, k2 long, place int, lo int, hi int, bucket long"
-RUNS = "k1 long, k2 long, place int, run int, core long, reach long"
-WINDOWS = "k1 long, k2 long, start int, core long, name long"
+#: shape: place, distance to the next sample (0: none), windows of text before the place and in all whose sample it is.
+ANCHORS = "k1 long, k2 long, shape long, bucket long"
+#: at: place, distance to the sample after the chain (0: none) and to the last one in it.
+PAIRS = "k1 long, k2 long, at long, p long, gap long, q long"
+#: span: first window, and how many more.
+RUNS = "k1 long, k2 long, span long, core long, reach long"
+WINDOWS = "k1 long, k2 long, start long, core long, name long"
+_LOW = (1 << 11) - 1
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -96,7 +108,19 @@ def _texts(batch):
         yield i, data[off[i] : off[i + 1]]
 
 
-def _find_anchors(length: int, gram: int):
+def _samples(data: np.ndarray, length: int, window: int, gram: int):
+    """(shape, bucket) of the sampled suffixes of one text that have ``window`` bytes."""
+    prefix = T.prefix_hash(data)
+    place, lo, hi, _ = anchors(data, prefix, window, gram)
+    gap = np.diff(place, append=place[-1])
+    some = place + window <= len(data)
+    gap[:-1] *= some[1:]
+    own = np.clip(np.minimum(hi, len(data) - length) - lo + 1, 0, None)
+    shape = place << 33 | gap << 22 | (place - lo) << 11 | own
+    return shape[some], T.span_hash(prefix, place[some], place[some] + window)
+
+
+def _find_anchors(length: int, window: int, gram: int):
     def run(batches):
         T.keep("", {})
         for b in batches:
@@ -105,9 +129,9 @@ def _find_anchors(length: int, gram: int):
             for i, data in _texts(b):
                 if len(data) < length:
                     continue
-                place, lo, hi, bucket = anchors(data, T.prefix_hash(data), length, gram)
-                held.append([np.full(len(place), k1[i]), np.full(len(place), k2[i]), place, lo, hi, bucket])
-                size += len(place)
+                shape, bucket = _samples(data, length, window, gram)
+                held.append([np.full(len(shape), k1[i]), np.full(len(shape), k2[i]), shape, bucket])
+                size += len(shape)
                 if size > 50_000:
                     yield _batch([np.concatenate(c) for c in zip(*held, strict=True)], ANCHORS)
                     held, size = [], 0
@@ -117,50 +141,116 @@ def _find_anchors(length: int, gram: int):
     return run
 
 
-def _name_runs(length: int, size: int):
-    """Cores and reaches of the runs of windows of each anchor that is left."""
+def _lists(column, name: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(offsets, ``name``, b) of a column of lists of (name, b); null is empty."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    size = np.array(pa.compute.fill_null(pa.compute.list_value_length(column), 0))
+    each = column.flatten()
+    return np.append(0, np.cumsum(size)), each.field(name).to_numpy(), each.field("b").to_numpy()
+
+
+def _steps(x: np.ndarray, first: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place, distance to the sample after the chain, distance to its last) of shapes or later entries."""
+    return (x >> 33, x >> 22 & _LOW, np.zeros(len(x), np.int64)) if first else (x >> 33, x >> 16 & 0x1FFFF, x & 0xFFFF)
+
+
+def _pair(most: int, first: bool):
+    """Each suffix with the one after its chain; the two chains together span ``most`` bytes at most."""
+
+    def run(batches):
+        for b in batches:
+            k1, k2 = b.column("k1").to_numpy(), b.column("k2").to_numpy()
+            off, x, bucket = _lists(b.column("spots"), "x")
+            row = np.repeat(np.arange(len(off) - 1), np.diff(off))
+            place, after, last = _steps(x, first)
+            order = np.lexsort((place, row))
+            row, place, after, last, bucket = row[order], place[order], after[order], last[order], bucket[order]
+            key = row.astype(np.int64) << 32 | place
+            want = key + after
+            to = np.minimum(np.searchsorted(key, want), max(len(key) - 1, 0))
+            ok = np.flatnonzero((after > 0) & (key[to] == want)) if len(key) else to
+            to = to[ok]
+            reach, beyond = after[ok] + last[to], np.where(after[to] > 0, after[ok] + after[to], 0)
+            near = reach <= most
+            ok, to, reach, beyond = ok[near], to[near], reach[near], beyond[near]
+            at = place[ok] << 33 | beyond << 16 | reach
+            times = np.where(b.column("twice").to_numpy(zero_copy_only=False), 2, 1)[row[ok]]  # a repeated row is not alone in its bucket
+            ok, to, at = (np.repeat(x, times) for x in (ok, to, at))
+            yield _batch([k1[row[ok]], k2[row[ok]], at, bucket[ok], after[ok], bucket[to]], PAIRS)
+
+    return run
+
 
-    def one(data, place, lo, hi):
-        prefix, n = T.prefix_hash(data), len(data)
-        near, far = (place - hi) // size, (place - lo) // size  # distance from window start to anchor, in runs
-        times = far - near + 1
-        p = np.repeat(place, times)
-        run = np.repeat(near, times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-        _, kept = np.unique(p - run * size, return_index=True)  # anchors a multiple of the size apart share runs
-        p, run = p[kept], run[kept]
-        start, stop = p - (run + 1) * size + 1, p - run * size + length  # all bytes of the run's windows
-        core = T.span_hash(prefix, start + size - 1, stop - size + 1)
-        a, z = np.maximum(start, 0), np.minimum(stop, n)
-        reach = T.span_hash(prefix, a, z) ^ T.mix(((a - start) * 4096 + (stop - z)).astype(np.uint64) + np.uint64(0x51ED27))
-        return p, run, core, reach
+def chains(shape: np.ndarray, levels: list[tuple[np.ndarray, np.ndarray]], length: int, window: int):
+    """(sample, first window, last window, name) of the runs of windows of one text whose chains repeat.
+
+    shape: of the samples left, ascending; levels: (place, bucket) by depth 1, 2, 4, ...
+    """
+    place, gap, back, own = shape >> 33, shape >> 22 & _LOW, shape >> 11 & _LOW, shape & _LOW
+    n = len(place)
+    named = []
+    for at, b in levels:
+        ids = np.full(n, -1, np.int64)
+        ids[np.searchsorted(place, at)] = b
+        named.append(ids)
+    follows = np.zeros(n, bool)
+    follows[:-1] = (gap[:-1] > 0) & (place[1:] == place[:-1] + gap[:-1])
+    end = np.where(gap > 0, place + gap + window - length, np.iinfo(np.int64).max)  # windows from here on hold the next sample, too
+    lo, hi = place - back, place - back + own - 1
+    i, m, out = np.flatnonzero(own > 0), 0, []
+    while len(i):
+        z = i + m
+        k = (m + 1).bit_length() - 1
+        if k >= len(named):
+            break
+        a, b = np.maximum(lo[i], place[z] + window - length), np.minimum(hi[i], end[z] - 1)
+        second = z + 1 - (1 << k)
+        x, y = named[k][i], named[k][second]
+        some = (a <= b) & (x >= 0) & (y >= 0)
+        name = T.mix(T.mix(x.astype(np.uint64) * np.uint64(64) + np.uint64(k)) ^ (y.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + (place[second] - place[i]).astype(np.uint64)))
+        out.append((i[some], a[some], b[some], name[some]))
+        i = i[follows[z] & (end[z] <= hi[i]) & (x >= 0)]
+        m += 1
+    if not out:
+        return (np.empty(0, np.int64),) * 3 + (np.empty(0, np.uint64),)
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True))
+
+
+def _name_runs(length: int, window: int, depth: int):
+    """Names of the runs, and of all their bytes."""
 
     def run(batches):
         for b in batches:
             k1, k2 = b.column("k1").to_numpy(), b.column("k2").to_numpy()
-            spots = b.column("spots").to_pylist()
+            lists = [_lists(b.column(f"spots{k}"), "x") for k in range(depth)]
             for i, data in _texts(b):
-                s = np.array(sorted({(x["place"], x["lo"], x["hi"]) for x in spots[i]}), np.int64).reshape(-1, 3)
-                p, r, core, reach = one(data, s[:, 0], s[:, 1], s[:, 2])
-                yield _batch([np.full(len(p), k1[i]), np.full(len(p), k2[i]), p, r, core, reach], RUNS)
+                off, x, ids = lists[0]
+                order = np.argsort(x[off[i] : off[i + 1]])
+                shape = x[off[i] : off[i + 1]][order]
+                levels = [(shape >> 33, ids[off[i] : off[i + 1]][order])]
+                for off, x, ids in lists[1:]:
+                    levels.append((x[off[i] : off[i + 1]] >> 33, ids[off[i] : off[i + 1]]))
+                at, a, z, core = chains(shape, levels, length, window)
+                if not len(a):
+                    continue
+                reach = T.span_hash(T.prefix_hash(data), a, z + length) ^ T.mix(((shape[at] >> 33) - a).astype(np.uint64) + np.uint64(0x51ED27))
+                yield _batch([np.full(len(a), k1[i]), np.full(len(a), k2[i]), a << 32 | (z - a), core, reach], RUNS)
 
     return run
 
 
-def _name_windows(length: int, size: int):
+def _name_windows(length: int):
     def run(batches):
         for b in batches:
             k1, k2 = b.column("k1").to_numpy(), b.column("k2").to_numpy()
-            asked = b.column("asked").to_pylist()
+            off, spans, cores = _lists(b.column("asked"), "x")
             for i, data in _texts(b):
-                prefix = T.prefix_hash(data)
-                rows = np.array(sorted({(x["place"], x["run"], x["core"]) for x in asked[i]}), np.int64).reshape(-1, 3)
-                start = rows[:, :1] - rows[:, 1:2] * size - np.arange(size)[None, :]
-                ok = (start >= 0) & (start + length <= len(data))
-                core = np.broadcast_to(rows[:, 2:3], start.shape)[ok]
-                off = np.broadcast_to(np.arange(size), start.shape)[ok]
-                s = start[ok]
-                name = T.span_hash(prefix, s, s + length) ^ T.mix(off.astype(np.uint64) + np.uint64(1))
-                yield _batch([np.full(len(s), k1[i]), np.full(len(s), k2[i]), s, core, name], WINDOWS)
+                span, kept = np.unique(spans[off[i] : off[i + 1]], return_index=True)
+                times = (span & 0xFFFFFFFF) + 1
+                s = np.repeat((span >> 32) - np.cumsum(times) + times, times) + np.arange(times.sum())
+                core = np.repeat(cores[off[i] : off[i + 1]][kept], times)
+                yield _batch([np.full(len(s), k1[i]), np.full(len(s), k2[i]), s, core, T.span_hash(T.prefix_hash(data), s, s + length)], WINDOWS)
 
     return run
 
@@ -195,35 +285,54 @@ def _remove(length: int):
     return run
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, size: int = RUN) -> DataFrame:
+def _ids(rows: DataFrame, columns: list[str], name: str, ws: Workspace) -> DataFrame:
+    """An identifier b for each combination of columns that stands twice or more, in sorted order."""
+    several = rows.groupBy(*columns).agg(F.count("*").alias("n")).filter("n > 1").select(*columns)
+    return ws.save(several.repartitionByRange(partitions(ws.spark), *columns).sortWithinPartitions(*columns).withColumn("b", F.monotonically_increasing_id()), name)
+
+
+def remove_repeats(docs: DataFrame, length: int = LENGTH, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans and kept bytes per document."""
+    if not (gram <= window and 2 * window - gram <= length and length - window < 1 << 15 and window - gram < _LOW):
+        raise ValueError("2 * window - gram must be at most length, and window - gram below 2047")
     ws = Workspace(docs.sparkSession, "substrings")
     texts = _keyed(docs)
     key = ["k1", "k2"]
 
-    found = ws.save(texts.select(*key, "text").mapInArrow(_find_anchors(length, gram), ANCHORS), "anchors")
-    repeated = found.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
-    # Lists are written before they meet the texts: by then the shuffles behind them are gone.
-    left = ws.save(found.join(apart(repeated), "bucket").groupBy(*key).agg(F.collect_list(F.struct("place", "lo", "hi")).alias("spots")), "left")
-    ws.drop("anchors")
-    runs = ws.save(texts.select(*key, "text").join(left.hint("merge"), key).mapInArrow(_name_runs(length, size), RUNS), "runs")
-    ws.drop("left")
-
-    reaches = runs.groupBy("core", "reach").agg(F.count("*").alias("n"), F.min(F.struct(*key, "place", "run")).alias("chosen"))
+    def gathered(rows: DataFrame, x: str, name: str) -> DataFrame:
+        # Lists are written before they meet the texts: by then the shuffles behind them are gone.
+        each = rows.groupBy(*key).agg(F.collect_set(F.struct(F.col(x).alias("x"), "b")).alias("spots"), F.count("*").alias("n"))
+        return ws.save(each.select(*key, "spots", (F.col("n") > F.size("spots")).alias("twice")), name)
+
+    found = ws.save(texts.select(*key, "text").mapInArrow(_find_anchors(length, window, gram), ANCHORS), "anchors")
+    levels = [gathered(found.join(apart(_ids(found, ["bucket"], "ids-0", ws)), "bucket"), "shape", "level-0")]
+    ws.drop("anchors", "ids-0")
+    while True:
+        k = len(levels)
+        pairs = ws.save(levels[-1].mapInArrow(_pair(length - window, k == 1), PAIRS), f"pairs-{k}")
+        level = gathered(pairs.join(apart(_ids(pairs, ["p", "gap", "q"], f"ids-{k}", ws)), ["p", "gap", "q"]), "at", f"level-{k}")
+        ws.drop(f"pairs-{k}", f"ids-{k}")
+        if level.isEmpty():
+            break
+        levels.append(level)
+    joined = texts.select(*key, "text")
+    for k, level in enumerate(levels):
+        joined = joined.join(level.select(*key, F.col("spots").alias(f"spots{k}")).hint("merge"), key, "left" if k else "inner")
+    runs = ws.save(joined.mapInArrow(_name_runs(length, window, len(levels)), RUNS), "runs")
+    ws.drop(*[f"level-{k}" for k in range(len(levels) + 1)])
+
+    reaches = runs.groupBy("core", "reach").agg(F.count("*").alias("n"), F.min(F.struct(*key, "span")).alias("chosen"))
     cores = reaches.groupBy("core").agg(F.sum("n").alias("total"), F.max(F.col("n") == 1).alias("single"), F.count("*").alias("kinds")).filter("total > 1")
     judged = ws.save(reaches.join(cores, "core"), "judged")
     whole = runs.join(judged.filter("n > 1").select("core", "reach"), ["core", "reach"])
     # One member of each reach of a mixed bucket stands for all that are equal to it.
-    asked = ws.save(judged.filter("single and kinds > 1").select("core", "chosen.*").groupBy(*key).agg(F.collect_list(F.struct("place", "run", "core")).alias("asked")), "asked")
-    windows = ws.save(texts.select(*key, "text").join(asked.hint("merge"), key).mapInArrow(_name_windows(length, size), WINDOWS), "windows")
+    asked = ws.save(judged.filter("single and kinds > 1").select("core", "chosen.*").groupBy(*key).agg(F.collect_list(F.struct(F.col("span").alias("x"), F.col("core").alias("b"))).alias("asked")), "asked")
+    windows = ws.save(texts.select(*key, "text").join(asked.hint("merge"), key).mapInArrow(_name_windows(length), WINDOWS), "windows")
     equal = windows.groupBy("core", "name").agg(F.count("*").alias("n")).filter("n > 1").select("core", "name")
     single = windows.join(apart(equal), ["core", "name"]).select(*key, F.col("start").alias("lo"), F.col("start").alias("hi"))
 
-    full = whole.select(*key, (F.col("place") - F.col("run") * size - (size - 1)).alias("lo"), (F.col("place") - F.col("run") * size).alias("hi"))
+    lo = F.shiftright("span", 32)
+    full = whole.select(*key, lo.alias("lo"), (lo + F.col("span").bitwiseAND(F.lit(0xFFFFFFFF))).alias("hi"))
     marks = ws.save(full.unionByName(single).groupBy(*key).agg(F.collect_set(F.struct("lo", "hi")).alias("marks")), "marks")
     ws.drop("runs", "judged", "asked", "windows")
-    clipped = texts.join(marks.hint("merge"), key, "left").withColumn(
-        "marks",
-        F.transform("marks", lambda m: F.struct(F.greatest(m["lo"], F.lit(0)).alias("lo"), F.least(m["hi"], F.octet_length("text") - length).alias("hi"))),
-    )
-    return clipped.select("doc_id", "text", "marks").mapInArrow(_remove(length), RESULT)
+    return texts.join(marks.hint("merge"), key, "left").select("doc_id", "text", "marks").mapInArrow(_remove(length), RESULT)

@@ -539,8 +539,8 @@ def python_repeats(rows, length):
     return Counter(out)
 
 
-@pytest.mark.parametrize(("length", "gram", "run"), [(40, 8, 4), (40, 8, 8), (30, 6, 32)])
-def test_substrings(spark, length, gram, run):
+@pytest.mark.parametrize(("length", "window", "gram"), [(40, 8, 4), (40, 24, 8), (30, 10, 6)])
+def test_substrings(spark, length, window, gram):
     rng = random.Random(3)
     make = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
     base = [make(rng.randint(0, 200)) for _ in range(50)]
@@ -554,7 +554,7 @@ def test_substrings(spark, length, gram, run):
     docs += [rng.choice(base)[: rng.randint(0, 80)] + make(20) + rng.choice(base)[rng.randint(0, 50) :] for _ in range(20)]
     docs += ["a" * 100, "ab" * 50, "ab" * 30, None, "", *[base[0]] * 3]
     rows = [*enumerate(docs), (5, docs[5]), (None, docs[6])]
-    got = substrings.remove_repeats(spark.createDataFrame(rows, SCHEMA).withColumn("bucket", F.lit(1)), length, gram, run).collect()
+    got = substrings.remove_repeats(spark.createDataFrame(rows, SCHEMA).withColumn("bucket", F.lit(1)), length, window, gram).collect()
     assert Counter(tuple(r)[:5] for r in got) == python_repeats(rows, length)
 
 
