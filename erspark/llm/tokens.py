@@ -73,13 +73,16 @@ def pretokens(points: np.ndarray, kinds: np.ndarray, heads: np.ndarray) -> np.nd
 
 
 class BatchEncoder:
-    """ids of many texts. Control strings inside a text are ordinary text."""
+    """ids of many texts, as the library gives them with ``add_special_tokens=False``.
+
+    A control string inside a text is its own id there; such texts go to the library whole.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
+        self.added = [x.content.encode() for x in self.tok.get_added_tokens_decoder().values()]
         self.vocabulary = self.tok.get_vocab_size()
         kind = type(self.tok.pre_tokenizer).__name__
         self.fast = kind == "ByteLevel" and self.tok.normalizer is None and not self.tok.pre_tokenizer.add_prefix_space
@@ -116,7 +119,7 @@ class BatchEncoder:
         kinds = CLASSES[np.minimum(points, FAST_BELOW)]
         cut = to_point[offsets]
         slow = np.flatnonzero(kinds == SLOW)
-        rows = np.unique(np.searchsorted(cut, slow, "right") - 1) if len(slow) else slow
+        rows = np.unique(np.concatenate([np.searchsorted(cut, slow, "right") - 1, self._with_added(raw, offsets)]))
         begin = 0
         for i in [*rows.tolist(), len(offsets) - 1]:
             if i > begin:
@@ -126,6 +129,16 @@ class BatchEncoder:
                 yield self._plain(raw[offsets[i] : offsets[i + 1]])
             begin = i + 1
 
+    def _with_added(self, raw: bytes, offsets: np.ndarray) -> np.ndarray:
+        """Texts that hold a control string."""
+        found = []
+        for mark in self.added:
+            at = raw.find(mark)
+            while at >= 0:
+                found.append(int(np.searchsorted(offsets, at, "right")) - 1)
+                at = raw.find(mark, int(offsets[found[-1] + 1]))
+        return np.array(found, np.int64)
+
     def _plain(self, raw: bytes):
         ids = np.array(self.tok.encode(raw.decode("utf-8", "replace"), add_special_tokens=False).ids, np.int32)
         return ids, np.array([len(ids)], np.int64)

@@ -1,5 +1,6 @@
 """Training-data operators against brute force, round trips and edge cases."""
 
+import functools
 import hashlib
 import random
 import re
@@ -13,16 +14,17 @@ import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from erspark.llm import chat, decontaminate, graph, huffman, language, licenses, lines, packing, simhash, substrings, syncmers
 from erspark.llm import queries as llm_queries
 from erspark.llm import text as T
 from erspark.llm.store import Workspace
-from erspark.llm.tokens import BatchEncoder, encoder, vocabulary_path
+from erspark.llm.tokens import BatchEncoder, vocabulary_path
 
 SCHEMA = "doc_id long, text string"
 #: Nulls, empty and long texts, ties, repeated rows, a clashing extra column.
-EDGES = [(1, None), (2, ""), (3, "a"), (3, "a"), (4, "a"), (None, "a b c"), (5, "x " * 5000), (6, "x " * 5000), (7, "\n\n"), (8, "é ü 中文 कि"), (9, "!!! ???"), (10, "one two three four five six seven")]
+EDGES = [(1, None), (2, ""), (3, "a"), (3, "a"), (4, "a"), (None, "a b c"), (5, "x " * 5000), (6, "x " * 5000), (7, "\n\n"), (8, "é ü 中文 कि"), (9, "!!! ???"), (10, "one two three four five six seven"), (11, "a<|endoftext|>b <|endoftext|>"), (12, "<|endoftext|>")]
 
 
 @pytest.fixture(scope="module")
@@ -42,6 +44,11 @@ def lower(b: bytes) -> bytes:
 # Tokens, Huffman, packing
 
 
+@functools.cache
+def stock():
+    return Tokenizer.from_file(vocabulary_path())
+
+
 def test_batch_encoder_equals_library():
     e = BatchEncoder(vocabulary_path())
     rng = random.Random(1)
@@ -50,7 +57,7 @@ def test_batch_encoder_equals_library():
     data, off = T.buffers(pa.array(texts))
     ids, at = e.encode(data, off)
     for i, t in enumerate(texts):
-        assert e.tok.encode(t, add_special_tokens=False).ids == ids[at[i] : at[i + 1]].tolist(), t
+        assert stock().encode(t, add_special_tokens=False).ids == ids[at[i] : at[i + 1]].tolist(), t
 
 
 @settings(max_examples=30, deadline=None)
@@ -92,7 +99,7 @@ def test_crc_join():
 
 
 def tokens_of(text, end):
-    return np.array([*encoder(vocabulary_path()).tok.encode(text or "", add_special_tokens=False).ids, end], "<u4")
+    return np.array([*stock().encode(text or "", add_special_tokens=False).ids, end], "<u4")
 
 
 @pytest.mark.parametrize("block", [300, 1 << 16])
@@ -119,30 +126,69 @@ def test_read_ids(spark, edges):
     assert got == Counter((i, tuple(tokens_of(t, 0).tolist())) for i, t in EDGES)
 
 
+def best_fit(histogram, capacity):
+    """Sequences of best fit by decreasing length."""
+    room = []
+    for size in sorted(histogram, reverse=True):
+        for _ in range(histogram[size]):
+            fits = [(r, i) for i, r in enumerate(room) if r >= size]
+            if fits:
+                room[min(fits)[1]] -= size
+            else:
+                room.append(capacity - size)
+    return len(room)
+
+
 @settings(max_examples=25, deadline=None)
 @given(st.dictionaries(st.integers(1, 60), st.integers(1, 40), max_size=25))
 def test_configurations(histogram):
-    plan = packing.configurations(histogram, 60, 50)
+    plan = packing.configurations(histogram, 60)
     placed: Counter = Counter()
     for config, n in plan:
         assert n > 0 and sum(s * k for s, k in config.items()) <= 60
         for s, k in config.items():
             placed[s] += k * n
     assert dict(placed) == histogram
-    assert sum(n for _, n in plan) <= sum(n for _, n in packing.best_fit(histogram, 60))
+    assert sum(n for _, n in plan) <= 1.02 * best_fit(histogram, 60) + 1
+
+
+@settings(max_examples=25, deadline=None)
+@given(st.dictionaries(st.integers(1, 59), st.integers(1, 40), min_size=1, max_size=25))
+def test_program_covers_within_its_gap(histogram):
+    sizes = np.array(sorted(histogram))
+    need = np.array([histogram[s] for s in sizes.tolist()])
+    found, bound = packing.solve(sizes, need, 60)
+    covered = np.zeros(len(sizes))
+    for at, times, amount in found:
+        assert amount > 0 and (sizes[at] * times).sum() <= 60
+        covered[at] += amount * times
+    assert (covered >= need - 1e-6).all() and len(found) <= len(sizes)
+    assert bound - 1e-6 <= sum(x for *_, x in found)
+    assert bound <= best_fit(histogram, 60) + 1e-6
+
+
+def test_program_on_documents(spark, data):
+    cut = packing.pieces(spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text"), vocabulary_path(), 2)
+    histogram = {r["length"]: r["count"] for r in cut.groupBy("length").count().collect()}
+    part = {s: n for s, n in histogram.items() if s < 1024}
+    plan = packing.configurations(part)
+    first = sum(int(x + 1e-9) for *_, x in packing.solve(np.array(sorted(part)), np.array([part[s] for s in sorted(part)]), 1024)[0])
+    assert sum(n for _, n in plan) <= best_fit(part, 1024) and first >= 0.9 * sum(n for _, n in plan)
 
 
 def test_knapsack_is_best():
     rng = random.Random(2)
     for _ in range(20):
         sizes = np.array(sorted(rng.sample(range(1, 12), 4)))
-        value = np.array([rng.random() for _ in sizes])
-        times = packing.knapsack(sizes, value, 20)
-        assert (times * sizes).sum() <= 20
+        value, most = np.array([rng.random() for _ in sizes]), np.array([rng.randint(1, 5) for _ in sizes])
+        times, got = packing.knapsack(sizes, value, most, 20)
+        assert (times * sizes).sum() <= 20 and (times <= most).all()
         best = [0.0] * 21
-        for c in range(1, 21):
-            best[c] = max([best[c - 1], *[best[c - s] + v for s, v in zip(sizes, value, strict=True) if s <= c]])
-        assert (times * value).sum() == pytest.approx(best[20])
+        for s, v, m in zip(sizes.tolist(), value.tolist(), most.tolist(), strict=True):
+            for _ in range(m):
+                for c in range(20, s - 1, -1):
+                    best[c] = max(best[c], best[c - s] + v)
+        assert (times * value).sum() == pytest.approx(best[20]) == pytest.approx(got)
 
 
 @pytest.mark.parametrize("capacity", [64, 1024])
