@@ -9,7 +9,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 #: {g} is the global flag that DuckDB's regexp_replace needs.
 VIEWS = {
     "er_s1": "SELECT c_custkey AS qi, c_name AS name, c_nationkey AS country, c_custkey % 5 AS fold FROM customer",
-    "er_pool": "SELECT o_orderkey AS pj, CASE WHEN o_orderkey % 2 = 0 THEN 'S2' ELSE 'S3' END AS src, CASE WHEN o_orderkey % 4 = 0 THEN CAST(-1 AS BIGINT) ELSE o_custkey END AS owner, o_custkey AS seed FROM orders WHERE o_orderkey % 3 = 0",
+    "er_pool": "SELECT o_orderkey AS pj, CASE WHEN o_orderkey % 2 = 0 THEN 'S2' ELSE 'S3' END AS src, CASE WHEN o_orderkey % 4 = 0 THEN CAST(-1 AS BIGINT) ELSE o_custkey END AS owner, o_custkey AS seed FROM orders",
     "er_truth": "SELECT s.qi, s.country, s.fold, count(p.pj) AS k FROM er_s1 s LEFT JOIN er_pool p ON p.owner = s.qi GROUP BY s.qi, s.country, s.fold",
     "er_scored": (
         "SELECT qi, pj, max(p) AS p FROM (SELECT owner AS qi, pj, CASE WHEN pj % 11 = 0 THEN CAST((pj * 17) % 400 AS DOUBLE) / 1000 ELSE CAST(500 + (pj * 37) % 500 AS DOUBLE) / 1000 END AS p FROM er_pool WHERE owner >= 0 AND pj % 10 <> 0 "
@@ -17,7 +17,8 @@ VIEWS = {
         "UNION ALL SELECT (seed + 17) % (SELECT count(*) FROM customer) AS qi, pj, CAST((pj * 91) % 600 AS DOUBLE) / 1000 AS p FROM er_pool) u GROUP BY qi, pj"
     ),
     "er_claims": "SELECT s.qi, s.pj, s.p, p.owner, p.src, p.owner = s.qi AS tp FROM er_scored s JOIN er_pool p ON p.pj = s.pj",
-    "txt_all": "SELECT doc_id, lang AS country, trim(regexp_replace(substr(text, 1, 60), '[\\n\\r\\t ]+', ' '{g})) AS name, trim(regexp_replace(substr(text, 61, 80), '[\\n\\r\\t ]+', ' '{g})) AS addr, source FROM documents",
+    # The first line is the name, the rest of the text the address.
+    "txt_all": "SELECT doc_id, lang AS country, trim(regexp_replace(CASE WHEN instr(text, chr(10)) > 0 THEN substr(text, 1, instr(text, chr(10)) - 1) ELSE text END, '[\\n\\r\\t ]+', ' '{g})) AS name, trim(regexp_replace(CASE WHEN instr(text, chr(10)) > 0 THEN substr(text, instr(text, chr(10)) + 1) ELSE '' END, '[\\n\\r\\t ]+', ' '{g})) AS addr, source FROM documents",
     "txt_s1": "SELECT doc_id AS qi, name, addr, country FROM txt_all WHERE doc_id % 5 = 0",
     "txt_pool": "SELECT doc_id AS pj, name, addr, country, CASE WHEN doc_id % 2 = 0 THEN 'S2' ELSE 'S3' END AS src FROM txt_all WHERE doc_id % 5 <> 0",
     "txt_pairs": "SELECT s.qi, p.pj, s.country FROM txt_s1 s JOIN txt_pool p ON p.pj BETWEEN s.qi + 1 AND s.qi + 4",
