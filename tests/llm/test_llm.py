@@ -358,7 +358,8 @@ def test_line_dedup(spark, least):
     some = ["a", "bb", "a long line of some text here", "", "xyz", "q" * 30, "né"]
     rows = [(i, "\n".join(rng.choice(some) for _ in range(rng.randint(0, 9)))) for i in range(80)]
     rows += [(500, None), (501, ""), (None, "q" * 30 + "\nbb\nxyz"), (502, "a\n" * 40)]
-    got = lines.dedup_lines(spark.createDataFrame(rows, SCHEMA).withColumn("kept", F.lit("x")).withColumn("key", F.lit(1)), least)
+    got = lines.dedup_lines(spark.createDataFrame(rows, SCHEMA).withColumn("kept", F.lit("x")).withColumn("key", F.lit(1)).withColumn("cuts", F.col("doc_id")), least)
+    assert got.columns == ["doc_id", "key", "cuts", "kept", "n_lines", "n_removed"] and got.filter("key <> 1 or not cuts <=> doc_id").count() == 0
     assert Counter((r.doc_id, r.n_lines, r.n_removed, r.kept or "") for r in got.collect()) == python_lines(rows, least)
 
 
@@ -372,6 +373,41 @@ def test_every_repeated_line_goes(spark):
     assert {r.doc_id: r.kept for r in lines.dedup_lines(blank).collect()} == {1: "one\n  \ntwo", 2: "three\n  \nfour", 3: "  \nfive"}
 
 
+def test_suffix_array_and_common_prefixes(spark):
+    """The array is sorted, and neighbours' common prefixes and earlier runs are those of plain lists."""
+    rng = random.Random(21)
+    texts = ["\n".join(rng.choice("abcab") for _ in range(rng.randint(1, 25))) for _ in range(14)] + ["a\n" * 37, "a\n" * 20 + "z", "b\nb", "only one"]
+    ws = Workspace(spark, "test")
+    docs = spark.createDataFrame([(i, i, t) for i, t in enumerate(texts)], "doc_id long, key long, text string")
+    found = ws.save(docs.mapInArrow(lines._lines, lines.LINES), "lines")
+    paths = ws.save(lines.suffix_paths(found, ws), "paths")
+    rows = sorted(tuple(r) for r in lines.neighbours(paths, ws).collect())
+    count = Counter(x for t in texts for x in t.split("\n"))
+    name = {x: i for i, x in enumerate(sorted(count))}
+
+    def suffix(t):
+        ls = texts[t >> lines.LINE_BITS].split("\n")[t & ((1 << lines.LINE_BITS) - 1) :]
+        cut = next((i for i, x in enumerate(ls) if count[x] == 1), len(ls))
+        return [name[x] for x in ls[:cut]]
+
+    def common(x, y):
+        return next((i for i, (a, b) in enumerate(zip(x, y, strict=False)) if a != b), min(len(x), len(y)))
+
+    places = [r[2] for r in rows]
+    assert len(places) == len(set(places)) == sum(count[x] > 1 for t in texts for x in t.split("\n"))
+    by_path = {r.t: r.path for r in paths.collect()}
+    assert [by_path[p] for p in places] == sorted(by_path[p] for p in places)
+    assert [r[3] for r in rows[1:]] == [common(suffix(a), suffix(b)) for a, b in zip(places[:-1], places[1:], strict=True)]
+    got = {r.t: r.m for r in lines.earlier_runs(spark.createDataFrame(rows, "part int, idx long, t long, lcp long")).collect()}
+    assert got == {p: m for p in places if (m := max((common(suffix(p), suffix(q)) for q in places if q < p), default=0))}
+
+
+def test_line_dedup_of_documents(spark, data):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{data}/documents.parquet").collect()]
+    got = lines.dedup_lines(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert Counter((r.doc_id, r.n_lines, r.n_removed, r.kept or "") for r in got) == python_lines(rows, 1)
+
+
 def test_line_edges(spark, edges, empty):
     rows = lines.dedup_lines(edges).collect()
     assert len(rows) == len(EDGES)
