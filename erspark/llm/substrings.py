@@ -4,9 +4,9 @@ A byte goes if a string of ``LENGTH`` bytes that covers it also starts anywhere
 
 A suffix array of every byte needs several times the corpus in space, so suffixes are
 sampled: in each window of ``WINDOW`` bytes, the place of the smallest hash of ``GRAM``
-bytes. Equal strings have their samples at equal places, so no repeat is missed: the
-samples of a string that can be told from the string alone are a chain from the one of
-its first window to the last whose ``WINDOW`` bytes still lie inside.
+bytes. Equal strings have their samples at equal places, so no repeat is missed: a string
+has a chain of samples, from the one of its first window on, as far as their ``WINDOW``
+bytes lie inside every string of ``LENGTH`` with that first sample.
 
 1. Initial buckets: suffixes with equal first ``WINDOW`` bytes (the q-gram; samples lie
    closer together than that, so the grams of a chain leave no byte out).
@@ -14,8 +14,8 @@ its first window to the last whose ``WINDOW`` bytes still lie inside.
    suffix at the next sampled offset. Identifiers that this gives stand for two samples,
    and the next round reads them at the offset of the second next one: updates are used
    again, so a round doubles the depth. Suffixes alone in their bucket are done, and
-   rounds end when no chain of samples within ``LENGTH`` is longer.
-3. The windows (strings of ``LENGTH``) with one chain are a run; its name is the bucket
+   rounds end when no chain is longer.
+3. The windows (strings of ``LENGTH``) with one first sample are a run; its name is the bucket
    identifiers at both ends of the chain. All bytes of a run that stand elsewhere mean
    that all its windows repeat. Runs whose neighbours in the bucket differ, which lie
    where copies end, are compared window by window; one run stands for all equal ones.
@@ -182,42 +182,35 @@ def _pair(most: int, first: bool):
     return run
 
 
-def chains(shape: np.ndarray, levels: list[tuple[np.ndarray, np.ndarray]], length: int, window: int):
+def chains(shape: np.ndarray, levels: list[tuple[np.ndarray, np.ndarray]], most: int):
     """(sample, first window, last window, name) of the runs of windows of one text whose chains repeat.
 
     shape: of the samples left, ascending; levels: (place, bucket) by depth 1, 2, 4, ...
     """
     place, gap, back, own = shape >> 33, shape >> 22 & _LOW, shape >> 11 & _LOW, shape & _LOW
     n = len(place)
-    named = []
-    for at, b in levels:
-        ids = np.full(n, -1, np.int64)
-        ids[np.searchsorted(place, at)] = b
-        named.append(ids)
     follows = np.zeros(n, bool)
     follows[:-1] = (gap[:-1] > 0) & (place[1:] == place[:-1] + gap[:-1])
-    end = np.where(gap > 0, place + gap + window - length, np.iinfo(np.int64).max)  # windows from here on hold the next sample, too
-    lo, hi = place - back, place - back + own - 1
-    i, m, out = np.flatnonzero(own > 0), 0, []
-    while len(i):
-        z = i + m
-        k = (m + 1).bit_length() - 1
-        if k >= len(named):
-            break
-        a, b = np.maximum(lo[i], place[z] + window - length), np.minimum(hi[i], end[z] - 1)
-        second = z + 1 - (1 << k)
-        x, y = named[k][i], named[k][second]
-        some = (a <= b) & (x >= 0) & (y >= 0)
-        name = T.mix(T.mix(x.astype(np.uint64) * np.uint64(64) + np.uint64(k)) ^ (y.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + (place[second] - place[i]).astype(np.uint64)))
-        out.append((i[some], a[some], b[some], name[some]))
-        i = i[follows[z] & (end[z] <= hi[i]) & (x >= 0)]
-        m += 1
-    if not out:
-        return (np.empty(0, np.int64),) * 3 + (np.empty(0, np.uint64),)
-    return tuple(np.concatenate(c) for c in zip(*out, strict=True))
-
-
-def _name_runs(length: int, window: int, depth: int):
+    upto = np.append(0, np.cumsum(follows))
+    i = np.flatnonzero(own > 0)
+    z = np.searchsorted(place, place[i] + most, "right") - 1
+    # No sample of the chain may be alone in its bucket, be it between or at the end.
+    i, z = (x[(upto[z] - upto[i] == z - i) & ((gap[z] == 0) | (place[z] + gap[z] > place[i] + most))] for x in (i, z))
+    name, known = np.zeros(len(i), np.uint64), np.zeros(len(i), bool)
+    for k, (at, bucket) in enumerate(levels):
+        ids = np.full(n, -1, np.int64)
+        ids[np.searchsorted(place, at)] = bucket
+        some = np.flatnonzero((z - i + 1 >= 1 << k) & (z - i + 1 < 2 << k))
+        second = z[some] + 1 - (1 << k)
+        x, y = ids[i[some]], ids[second]
+        known[some] = (x >= 0) & (y >= 0)
+        name[some] = T.mix(T.mix(x.astype(np.uint64) * np.uint64(64) + np.uint64(k)) ^ (y.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + (place[second] - place[i[some]]).astype(np.uint64)))
+    i, name = i[known], name[known]
+    first = place[i] - back[i]
+    return i, first, first + own[i] - 1, name
+
+
+def _name_runs(length: int, window: int, gram: int, depth: int):
     """Names of the runs, and of all their bytes."""
 
     def run(batches):
@@ -231,7 +224,7 @@ def _name_runs(length: int, window: int, depth: int):
                 levels = [(shape >> 33, ids[off[i] : off[i + 1]][order])]
                 for off, x, ids in lists[1:]:
                     levels.append((x[off[i] : off[i + 1]] >> 33, ids[off[i] : off[i + 1]]))
-                at, a, z, core = chains(shape, levels, length, window)
+                at, a, z, core = chains(shape, levels, length - 2 * window + gram)
                 if not len(a):
                     continue
                 reach = T.span_hash(T.prefix_hash(data), a, z + length) ^ T.mix(((shape[at] >> 33) - a).astype(np.uint64) + np.uint64(0x51ED27))
@@ -309,7 +302,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, window: int = WINDOW,
     ws.drop("anchors", "ids-0")
     while True:
         k = len(levels)
-        pairs = ws.save(levels[-1].mapInArrow(_pair(length - window, k == 1), PAIRS), f"pairs-{k}")
+        pairs = ws.save(levels[-1].mapInArrow(_pair(length - 2 * window + gram, k == 1), PAIRS), f"pairs-{k}")
         level = gathered(pairs.join(apart(_ids(pairs, ["p", "gap", "q"], f"ids-{k}", ws)), ["p", "gap", "q"]), "at", f"level-{k}")
         ws.drop(f"pairs-{k}", f"ids-{k}")
         if level.isEmpty():
@@ -318,7 +311,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, window: int = WINDOW,
     joined = texts.select(*key, "text")
     for k, level in enumerate(levels):
         joined = joined.join(level.select(*key, F.col("spots").alias(f"spots{k}")).hint("merge"), key, "left" if k else "inner")
-    runs = ws.save(joined.mapInArrow(_name_runs(length, window, len(levels)), RUNS), "runs")
+    runs = ws.save(joined.mapInArrow(_name_runs(length, window, gram, len(levels)), RUNS), "runs")
     ws.drop(*[f"level-{k}" for k in range(len(levels) + 1)])
 
     reaches = runs.groupBy("core", "reach").agg(F.count("*").alias("n"), F.min(F.struct(*key, "span")).alias("chosen"))
