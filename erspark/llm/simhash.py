@@ -38,6 +38,9 @@ from .store import Workspace, apart
 SEED = 42
 #: Distinct fingerprints of a shard beyond which it is split.
 MAX_SHARD = 4096
+#: Random bands of 8 bits that a large shard of wide fingerprints is split by: at a similarity of 0.8 a link
+#: shares none of them with a chance under 1e-3.
+SPLIT = 28
 #: Rows that are linked in one go, unless one shard has more.
 LINKED = 60_000
 
@@ -204,7 +207,7 @@ def _split(bands, radius: int, exact: bool):
             for k in np.unique(shard).tolist():
                 rows = np.flatnonzero(shard == k)
                 free = np.setdiff1d(np.arange(bits.shape[1]), bands[k])
-                finer = even_bands(len(free), radius + 1) if exact else random_bands(len(free), 14, 8, k)
+                finer = even_bands(len(free), radius + 1) if exact else random_bands(len(free), SPLIT, 8, k)
                 for j, band in enumerate(finer):
                     name = T.mix(key[rows].astype(np.uint64) ^ np.uint64((k + 1) * 1_000_003 + j << 32)).view(np.int64)
                     take = pa.array(rows)

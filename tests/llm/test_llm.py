@@ -674,6 +674,67 @@ def test_pipeline(spark, data):
     assert pipeline.run(spark, data).count() == out.count()
 
 
+def stage(name, spark, rows, data, columns="doc_id long, text string, lang string, source string, n_chars long"):
+    import corpus_pipeline as pipeline
+
+    docs = Workspace(spark, "stage").save(spark.createDataFrame(rows, columns), "in")
+    return dict(pipeline.STAGES)[name](spark, docs, data)
+
+
+def jaccard5(a, b):
+    sets = []
+    for t in (a, b):
+        w = lower((t or "").encode()).split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    return len(sets[0] & sets[1]) / len(sets[0] | sets[1]) if sets[0] | sets[1] else 1.0
+
+
+def test_near_dedup_stage(spark, data):
+    """Of each component of pairs at 0.8 or more the smallest id stays, for repeated and null ids, too."""
+    rng = random.Random(31)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    rows = []
+    for g in range(30):
+        text = [word() for _ in range(150)]
+        rows.append((3 * g, " ".join(text), None, "s", 1))
+        text[70] = word()
+        rows.append((3 * g + 1, " ".join(text), None, "s", 1))
+    same = rows[0][1]
+    rows += [(2, same, None, "s", 1), (2, "some other text of this id here now", None, "s", 1), (None, same, None, "s", 1), (None, same, None, "s", 1), (0, same, None, "s", 1)]
+    kept = Counter((r.doc_id, r.text) for r in stage("near_dedup", spark, rows, data).collect())
+    left = set(range(len(rows)))
+    want = Counter()
+    while left:
+        group, todo = set(), [min(left)]
+        while todo:
+            x = todo.pop()
+            if x in left:
+                left.discard(x)
+                group.add(x)
+                todo += [y for y in left if jaccard5(rows[x][1], rows[y][1]) >= 0.8]
+        first = min(group, key=lambda x: (rows[x][0] is None, rows[x][0] or 0))
+        want[rows[first][:2]] += 1
+    assert kept == want
+
+
+def test_line_and_language_stages_keep_other_columns(spark, data):
+    docs = [(1, "one line\nanother line", "en", "s", 21, "k", 77), (2, "one line\nthird", "en", "s", 14, "k", 77), (None, "third", "en", "s", 5, "k", 77), (4, None, None, "s", 0, "k", 77)]
+    columns = "doc_id long, text string, lang string, source string, n_chars long, {} string, {} int"
+    got = [tuple(r) for r in stage("line_dedup", spark, docs, data, columns.format("kept", "n_lines")).collect()]
+    assert sorted(got, key=str) == sorted([docs[0], (2, "third", "en", "s", 5, "k", 77), docs[3]], key=str)
+    for names in (("key", "cuts"), ("score", "rejected"), ("_key", "contaminated")):
+        for name in ("language_id", "line_dedup", "near_dedup", "decontaminated"):
+            out = stage(name, spark, docs, data, columns.format(*names))
+            assert out.columns[-2:] == list(names) and all((r[-2], r[-1]) == ("k", 77) for r in out.collect())
+
+
+def test_decontaminated_stage(spark, data):
+    bench = [(r.item_id, r.text) for r in spark.read.parquet(f"{data}/benchmark.parquet").collect()]
+    docs = [(r.doc_id, r.text, r.lang, r.source, r.n_chars) for r in spark.read.parquet(f"{data}/documents.parquet").collect()] + [(None, bench[0][1], None, None, 1), (7, bench[0][1], None, None, 1)]
+    clean = {r[0] for r in python_hits([(i, r[1]) for i, r in enumerate(docs)], bench, 10) if not r[5]}
+    assert Counter(tuple(r) for r in stage("decontaminated", spark, docs, data).collect()) == Counter(docs[i] for i in clean)
+
+
 def test_pipeline_edges(spark, data):
     import corpus_pipeline as pipeline
 
