@@ -6,7 +6,7 @@ All but the last return the columns of documents. Stages are written and read ag
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from erspark.llm import decontaminate, language, lines, packing, simhash
@@ -17,39 +17,60 @@ from erspark.llm.tokens import vocabulary_path
 NEAR = {"shingle": 5, "words": 4, "similarity": 0.8}
 
 
+def _rows(docs: DataFrame) -> DataFrame:
+    """Whole rows in one column, so that none of their names can meet a stage's own, with id, text and a key of both."""
+    return docs.select(F.struct(*docs.columns).alias("_row"), "doc_id", "text", F.xxhash64("doc_id", "text").alias("_key"))
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is recognised; the rejected ones go."""
-    found = language.predict(docs, language.fit(docs))
-    return found.filter("not rejected").select(*docs.columns)
+    """Documents whose language is recognised; the rejected ones go.
+
+    Null and empty texts, and texts without a letter, are rejected; null labels are not
+    learned; rows that repeat an id or a text are judged one by one.
+    """
+    found = language.predict(_rows(docs), language.fit(docs.select("text", "lang")))
+    return found.filter("not rejected").select("_row.*")
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without later copies of line runs; a text that is all copies goes."""
-    kept = lines.dedup_lines(docs).filter("n_lines = 0 or n_removed < n_lines")
-    return kept.withColumn("text", F.col("kept")).withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("kept").cast("bigint")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    """Texts without later copies of line runs; a text that is all copies goes.
+
+    The order is that of ids, null ids last; null and empty texts stay; rows with equal id
+    and text keep the same lines. n_chars follows the text where lines went.
+    """
+    kept = lines.dedup_lines(_rows(docs).drop("_key")).filter("n_lines = 0 or n_removed < n_lines")
+    new = {"text": F.col("kept"), "n_chars": F.when(F.col("n_removed") > 0, F.length("kept").cast("bigint")).otherwise(F.col("_row.n_chars"))} if "n_chars" in docs.columns else {"text": F.col("kept")}
+    return kept.select(*[new.get(c, F.col(f"_row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one with the smallest id."""
-    groups = simhash.near_duplicates(docs.select("doc_id", "text"), **NEAR)
-    stay = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    kept = docs.join(stay.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id"))).drop("_id")
-    # Rows that repeat both id and text are one group, too; the join has brought them together.
-    text = F.xxhash64("text")
-    same = F.lag(text).over(Window.partitionBy("doc_id").orderBy(text))
-    return kept.withColumn("_again", text == same).filter("_again is null or not _again").select(*docs.columns)
+    """One document of each group of near copies: the one with the smallest id, null ids last.
+
+    Rows are told apart by a 64-bit key of id and text: of rows that repeat both, one
+    stays; rows that share an id but not the text are members of their own. Null and empty
+    texts are one group.
+    """
+    rows = _rows(docs)
+    groups = simhash.near_duplicates(rows.select(F.col("_key").alias("doc_id"), "text"), **NEAR).select(F.col("doc_id").alias("_key"), F.col("component_id").alias("_group")).distinct()
+    ids = rows.select("_key", "doc_id").distinct().join(groups.hint("merge"), "_key")
+    stay = ids.groupBy("_group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_key")).alias("first")).select(F.col("first._key").alias("_key"))
+    return rows.select("_row", "_key").join(stay.hint("merge"), "_key").dropDuplicates(["_key"]).select("_row.*")
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a benchmark window."""
-    key = F.xxhash64("doc_id", "text")
-    found = decontaminate.decontaminate(docs.select(key.alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    """Documents without a benchmark window.
+
+    Null and empty texts have no words and stay; an empty benchmark hits nothing; rows that
+    repeat id and text go or stay together.
+    """
+    rows = _rows(docs)
+    found = decontaminate.decontaminate(rows.select(F.col("_key").alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     hit = found.filter("contaminated").select(F.col("doc_id").alias("_key")).distinct()
-    return docs.withColumn("_key", key).join(hit, "_key", "left_anti").select(*docs.columns)
+    return rows.join(hit, "_key", "left_anti").select("_row.*")
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces with their place in sequences of 1024."""
+    """Token pieces with their place in sequences of 1024; null and empty texts have the end id alone, rows that repeat are packed each."""
     return packing.pack_documents(docs, vocabulary_path("byte_bpe_50k.json"), 2)
 
 
