@@ -4,6 +4,7 @@ import functools
 import hashlib
 import random
 import re
+import struct
 import zlib
 from collections import Counter, defaultdict
 
@@ -461,15 +462,36 @@ def test_licenses(spark, edges, empty):
 # Syncmers
 
 
+def spark_hash(*values):
+    """Spark's xxhash64 of strings, longs and the int 1: the hash of each value seeds the next one's."""
+    seed = 42
+    for x in values:
+        seed = xxhash.xxh64_intdigest(x.encode() if isinstance(x, str) else struct.pack("<i" if x == 1 else "<q", x), seed)
+    return seed - (1 << 64) if seed >= 1 << 63 else seed
+
+
 def python_anchors(text):
-    got = re.findall(r"[^\W_]+", text.lower())
-    return got
+    """(place, 32-bit hash) of closed syncmers of five words, inner two; all words, or all of the text, where there is none."""
+    w = re.findall(r"[^\W_]+", text.lower())
+    inner = [spark_hash(a, b) for a, b in zip(w, w[1:])] if len(w) >= 5 else []
+    out = []
+    for i in range(len(inner) - 3):
+        window = inner[i : i + 4]
+        if min(window) in (window[0], window[3]):
+            out.append((i, spark_hash(inner[i], inner[i + 2], inner[i + 3])))
+    out = out or [(i, spark_hash(x)) for i, x in enumerate(w)] or [(0, spark_hash(text, 1))]
+    return [(i, h & 0xFFFFFFFF) for i, h in out]
+
+
+def python_elements(text):
+    found = python_anchors(text)
+    return [((i - (found[n - 1][0] if n else -1)), h) for n, (i, h) in enumerate(found)]
 
 
 def test_fingerprints(spark, edges, empty):
     rng = random.Random(7)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
-    rows = [(i, " ".join(word() for _ in range(120))) for i in range(30)] + [(40, "same text"), (41, "same text"), (42, None), (43, "")]
+    rows = [(i, " ".join(word() for _ in range(120))) for i in range(30)] + [(40, "same text"), (41, "same text"), (42, None), (43, ""), (44, "?! ..."), (45, "one two three four five"), (46, " ".join(word() for _ in range(20000)))]
     got = {r.doc_id: r for r in syncmers.edited_likeness(spark.createDataFrame(rows, SCHEMA)).collect()}
     order = sorted(rows, key=lambda r: -r[0])
     for (i, t), (_, after) in zip(order, order[1:] + order[:1], strict=True):
@@ -477,6 +499,12 @@ def test_fingerprints(spark, edges, empty):
         half = len(t) // 2
         edited = t[: len(t) - half] + after[:half]
         assert got[i].n_chars == len(t) and got[i].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
+        own, changed, following = (python_elements(x) for x in (t, edited, after))
+        assert got[i].fingerprint == "".join(f"{gap:x}{h:08x}" for gap, h in own)
+        assert got[i].edited_fingerprint == "".join(f"{gap:x}{h:08x}" for gap, h in changed)
+        share = lambda a, b: len({*a} & {*b}) / len({*a} | {*b})
+        assert got[i].near_edited == pytest.approx(share(own, changed)) and got[i].near_next == pytest.approx(share(own, following))
+        assert got[i].n_anchors == len(own) and got[i].n_in_place == len({*python_anchors(t)} & {*python_anchors(edited)})
     assert got[40].fingerprint == got[41].fingerprint and got[41].near_next == 1.0
     assert got[42].fingerprint == got[43].fingerprint
     for i in range(1, 30):
