@@ -1,8 +1,9 @@
 """License scans by canonical digests of entire texts, with DataFrame functions only.
 
 A text is normalised (case, punctuation, copyright lines, equivalent spellings, white
-space), and the SHA-256 of all of it is hash-joined to the digests of known licences,
-a fixed table. ``notices`` does the same for each line, for one-line licence notices.
+space), and the SHA-256 of all of it is hash-joined to the digests of known licences, a
+fixed table of short texts and of the digests of long ones. ``notices`` does the same for
+each line, for one-line licence notices.
 
 Null and empty texts, and texts of copyright lines or punctuation alone, match nothing.
 Repeated rows are answered one by one; an empty table gives an empty result.
@@ -68,6 +69,36 @@ TEXTS = [
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
 ]
+# Digests, as ``digest`` gives them, of longer public licence texts; "to end" and
+# "before end" are the texts up to the line END OF TERMS AND CONDITIONS, with it and without it.
+DIGESTS = [
+    ("Apache-2.0", "036b5ff6d47b44974c624da95e5bf0ac7ddfe5030e41dfa7ff8ac0c1daa9f32b"),
+    ("Apache-2.0", "f70a2718f78121f2da77cd6afbffffbd668d7c1fd36c85a3ef121e83cb5f48fe"),  # Apache-2.0 to end
+    ("Apache-2.0", "6aa661403864282a4d084f1551e8149a5f1a7b5e8b05b6db8e1a8a28d0badc64"),  # Apache-2.0 before end
+    ("Artistic-1.0-Perl", "08f1dc258c8f9e175155356aa1dd0dead8cfdec586bc1bb4c8b1452699a91702"),  # Artistic
+    ("BSD-3-Clause", "21ce5e311a0ef74591e636cf6d0a236029bcaa0ee86324ac68d5748657aa8651"),  # BSD
+    ("CC0-1.0", "de4b88a2c819a4661af54f735069ed878216da8b4992b919b84afa18cfc0e54c"),  # CC0-1.0
+    ("GFDL-1.2-only", "94541e73869af10ab6bd68a29575eede324e54e7d5237e7386d12444f593af60"),  # GFDL-1.2
+    ("GFDL-1.3-only", "a92fdbaeafedd9cbeb812ebbded06ee07e3b1427c81cfc333e682109c594d826"),  # GFDL-1.3
+    ("GPL-1.0-only", "ec8a6b7d70e9f225b63d3962ed5b4721373f5535d7b967a06722b0d621f6892a"),  # GPL-1
+    ("GPL-1.0-only", "74d0cd23803c9754c36f6ca0e1af411b418ed6b6564e757472bf0d870a1b5d1b"),  # GPL-1 to end
+    ("GPL-1.0-only", "af30c0af27b90ec812acdb040f3dcc944a87cd893456690efe35063f39e3eeeb"),  # GPL-1 before end
+    ("GPL-2.0-only", "331b500eb3c5ee796906547305df82fff4a35b3aa03c1d3ea84d32078292b2e6"),  # GPL-2
+    ("GPL-2.0-only", "1551b61aa183f987ecceedd8966ec1e9b2da3848f8862c2adedc0d82f41904ca"),  # GPL-2 to end
+    ("GPL-2.0-only", "c67cc53030ae25fe2e2f0143b59060eca5ad89da8d2beca1445641234d29fc88"),  # GPL-2 before end
+    ("GPL-3.0-only", "eaab5d82fdcca441d83a1913bbf07e4de3a739e190578c0bffde24f84e93bb2a"),  # GPL-3
+    ("GPL-3.0-only", "ac6b52d57c0104e687039148f7b8e370e04c9bb5705bb786f8ef814eb65e8636"),  # GPL-3 to end
+    ("GPL-3.0-only", "092a7f3b82e6c22949b46388bca99e725b6e756f1c2b1e3f575447fbd44b6191"),  # GPL-3 before end
+    ("LGPL-2.0-only", "61af4dcea4e412e8ccfb8877fd2762bd6d962f8d42a9fa2c06cf7b4613f2c908"),  # LGPL-2
+    ("LGPL-2.0-only", "504542bce5421b0f5a7e63ddb55443ccb300b27a65ba6bfc1370fed16a3af260"),  # LGPL-2 to end
+    ("LGPL-2.0-only", "430627da7218a92ab4a6d75d5140cdb70ee750be7a53f913299b37e0d1b0eea2"),  # LGPL-2 before end
+    ("LGPL-2.1-only", "4d55922bdeafabde164d75448bbfb0b474bf952bbb541325364010900acd9891"),  # LGPL-2.1
+    ("LGPL-2.1-only", "48d2010e70a815a564f914b0c7c1e80d7a6843793348fed3684c957112fe0aa4"),  # LGPL-2.1 to end
+    ("LGPL-2.1-only", "bf2f0c6bf1c47b3b1e3cbedeefecddd1e7db21d1919858d45c2f918efaf426df"),  # LGPL-2.1 before end
+    ("LGPL-3.0-only", "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be"),  # LGPL-3
+    ("MPL-1.1", "a1b36de49a400e3d3385d5987188db954a084f9876243aa7207cd91de3f24a7b"),  # MPL-1.1
+    ("MPL-2.0", "f82071285728ca3ec7685ee9bc4acdae0b8267142a4d20b8f1805eabedb4a98a"),  # MPL-2.0
+]
 # Spellings that count as the same word.
 SPELLINGS = {
     "acknowledgement": "acknowledgment", "analogue": "analog", "analyse": "analyze", "artefact": "artifact", "authorisation": "authorization",
@@ -103,9 +134,12 @@ def digest(text):
 
 
 def known(spark: SparkSession, texts: list[tuple[str, str]] | None = None) -> DataFrame:
-    """(digest, license) of known texts; one name where texts meet."""
+    """(digest, license) of the given texts, or of all known ones; one name where texts meet."""
     rows = literal_rows(spark, [{"license": n, "text": t} for n, t in texts or TEXTS], "license: string, text: string")
-    return rows.select(digest(F.col("text")).alias("digest"), "license").filter("digest is not null").groupBy("digest").agg(F.min("license").alias("license"))
+    table = rows.select(digest(F.col("text")).alias("digest"), "license").filter("digest is not null")
+    if texts is None:
+        table = table.unionByName(literal_rows(spark, [{"digest": d, "license": n} for n, d in DIGESTS], "digest: string, license: string"))
+    return table.groupBy("digest").agg(F.min("license").alias("license"))
 
 
 def needed_words(spark: SparkSession, texts: list[tuple[str, str]] | None = None) -> list[str]:
@@ -135,11 +169,12 @@ def scan(docs: DataFrame, texts: list[tuple[str, str]] | None = None) -> DataFra
 def scan_with_notices(docs: DataFrame, texts: list[tuple[str, str]] | None = None) -> DataFrame:
     """doc_id, digest, license of the entire text, n_notices and notices of its lines.
 
-    notices: sorted names of the known texts that a line is on its own. Lines look
+    notices: sorted names of the given texts (``TEXTS``) that a line is on its own. Lines look
     their digests up in the fixed table in place, so no document's lines are gathered.
     """
     table = known(docs.sparkSession, texts)
-    names = F.create_map(*[F.lit(x) for r in sorted(table.collect()) for x in r])  # the fixed table, a few rows
+    short = known(docs.sparkSession, texts or TEXTS)  # texts of which needed_words knows the words
+    names = F.create_map(*[F.lit(x) for r in sorted(short.collect()) for x in r])  # the fixed table, a few rows
     words = F.array(*[F.lit(w) for w in needed_words(docs.sparkSession, texts)])
     may = lambda x: F.exists(words, lambda w: F.contains(F.lower(x), w))
     found = F.coalesce(F.transform(F.split("text", "\n"), lambda x: F.when(may(x), F.element_at(names, digest(x)))), F.array().cast("array<string>"))

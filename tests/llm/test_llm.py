@@ -7,6 +7,7 @@ import re
 import struct
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -459,6 +460,23 @@ def test_licenses(spark, edges, empty):
     assert licenses.scan(edges).count() == len(EDGES) and licenses.scan_with_notices(empty).count() == 0
 
 
+def test_license_digests(spark):
+    """Texts of the system's folder of licences, upper case and rewrapped, against the fixed digests."""
+    folder = Path("/usr/share/common-licenses")
+    names = [("Apache-2.0", "Apache-2.0"), ("GPL-2", "GPL-2.0-only"), ("GPL-3", "GPL-3.0-only"), ("LGPL-2.1", "LGPL-2.1-only"), ("MPL-2.0", "MPL-2.0"), ("CC0-1.0", "CC0-1.0")]
+    rows, want = [], []
+    for n, license_ in names:
+        if (folder / n).exists():
+            text = (folder / n).read_text()
+            rows += [(len(rows), text), (len(rows) + 1, text.upper().replace("\n\n", "\n \n\t")), (len(rows) + 2, text + " and more")]
+            want += [license_, license_, None]
+    if not rows:
+        pytest.skip("no licence texts on this machine")
+    got = {r.doc_id: r.license for r in licenses.scan_with_notices(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert [got[i] for i in range(len(rows))] == want
+    assert len(dict.fromkeys(d for _, d in licenses.DIGESTS)) == len(licenses.DIGESTS)
+
+
 # Syncmers
 
 
