@@ -1,4 +1,4 @@
-"""Queries that train models; they have no SQL."""
+"""Queries that train models; of them feature_auc alone has SQL."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import decide, group, metrics, models
 from ..sources import tables, toy
-from .er_queries import r6
+from .er_queries import ER, r6
 from .registry import query
 from .resolver import Resolver
 
@@ -58,9 +58,20 @@ def feature_importance(v):
     return v._spark.createDataFrame([(n, float(x)) for n, x in got], "feature string, importance double").withColumn("importance", r6("importance"))
 
 
-@query()
+FEATURES = (
+    "f AS (SELECT tp, row_number() OVER (PARTITION BY qi ORDER BY p DESC, pj) - 1 AS s2_rank_q, round(p / (max(p) OVER (PARTITION BY qi) + 1e-9), 9) AS s2_prel, round(sum(p) OVER (PARTITION BY qi), 9) AS s2_psum_q, "
+    "sum(CASE WHEN p > 0.5 THEN 1 ELSE 0 END) OVER (PARTITION BY qi) AS s2_nhi_q, count(*) OVER (PARTITION BY pj) AS s2_nclaim_pj, CASE WHEN p >= max(p) OVER (PARTITION BY pj) THEN coalesce(nth_value(p, 2) OVER (PARTITION BY pj ORDER BY p DESC, qi ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING), 0.0) ELSE max(p) OVER (PARTITION BY pj) END AS s2_pmax_other_pj FROM er_claims), "
+    "long AS (" + " UNION ALL ".join(f"SELECT '{c}' AS feature, tp, CAST(coalesce({c}, (SELECT median({c}) FROM f), 0) AS DOUBLE) AS x FROM f" for c in COLUMNS) + "), "
+    "mids AS (SELECT *, rank() OVER (PARTITION BY feature ORDER BY x) + (count(*) OVER (PARTITION BY feature, x) - 1) / 2.0 AS mid FROM long), "
+    "areas AS (SELECT feature, (sum(CASE WHEN tp THEN mid ELSE 0 END) - sum(CAST(tp AS BIGINT)) * (sum(CAST(tp AS BIGINT)) + 1) / 2.0) / (sum(CAST(tp AS BIGINT)) * sum(CAST(NOT tp AS BIGINT))) AS a FROM mids GROUP BY feature)"
+)
+
+
+@query("SELECT feature, round(greatest(a, 1 - a), 6) AS auc FROM areas", ER, FEATURES)
 def feature_auc(v):
-    return models.feature_auc(labelled(v), COLUMNS).withColumn("auc", r6("auc"))
+    """Sums are rounded, so that equal ones tie whatever the order of adding."""
+    d = labelled(v).withColumns({c: F.round(c, 9) for c in ("s2_prel", "s2_psum_q")})
+    return models.feature_auc(d, COLUMNS).withColumn("auc", r6("auc"))
 
 
 @query()

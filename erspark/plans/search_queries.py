@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from ..functions import sets
@@ -512,7 +514,12 @@ def key_num_rarest_addr(v):
     return blocking.key_join(blocking.block_keys(q, "qi", "num_x_rarest_addr_tok", df), blocking.block_keys(p, "pj", "num_x_rarest_addr_tok", df))
 
 
-@query()
+#: The same vectors and scores over addresses: atq, atd, atn, atw, atu, ats.
+ADDRESS_TF = re.sub(r"\bt([qdnwus])\b", r"at\1", TF.replace("unnest(nw)", "unnest(aw)"))
+TOP5 = "SELECT qi, pj FROM (SELECT *, row_number() OVER (PARTITION BY qi ORDER BY cos DESC, pj) AS r FROM {scores}) WHERE r <= 5"
+
+
+@query(f"{TOP5.format(scores='ts')} UNION {TOP5.format(scores='ats')}", "", f"{ns.record_ctes()}, {TF}, {ADDRESS_TF}")
 def separate_index_union(v):
     """Name and address indexes searched apart, pairs united."""
     out = None
@@ -539,7 +546,12 @@ def normalization_experiment(v):
     return out
 
 
-@query()
+@query(
+    "SELECT topk, round(avg(ok), 6) AS agree, count(*) AS n FROM (SELECT topk, qi, avg(CASE WHEN len(list_intersect(q.n, p.n)) > 0 THEN 1.0 ELSE 0.0 END) AS ok FROM (SELECT *, row_number() OVER (PARTITION BY qi ORDER BY cos DESC, pj) - 1 AS rank FROM ts) t "
+    "JOIN digits q ON q.id = t.qi JOIN digits p ON p.id = t.pj JOIN (VALUES (1), (5)) g(topk) ON rank < topk WHERE len(q.n) > 0 GROUP BY topk, qi) GROUP BY topk",
+    "",
+    f"{ns.record_ctes()}, {TF}, digits AS (SELECT doc_id AS id, list_distinct(list_transform(regexp_extract_all(coalesce(text, ''), '[0-9]+'), lambda t: CASE WHEN regexp_full_match(t, '0+') THEN '0' ELSE ltrim(t, '0') END)) AS n FROM documents)",
+)
 def pseudo_precision(v):
     t = vectors(v)
     top = blocking.sparse_topk(t.filter("id % 5 = 0").withColumnRenamed("id", "qi"), t.filter("id % 5 <> 0").withColumnRenamed("id", "pj"), 5)
@@ -548,7 +560,15 @@ def pseudo_precision(v):
     return diagnostics.pseudo_precision(d, [1, 5]).withColumn("agree", r6("agree"))
 
 
-@query()
+@query(
+    "SELECT option, topk, round(count(lost.qi) / greatest((SELECT count(*) FROM lost), 1), 6) AS recovered, round(count(*) / 100, 6) AS cost FROM deep "
+    "JOIN (VALUES ('forward', 10), ('forward', 20), ('reverse', 3), ('reverse', 5)) g(option, topk) USING (option) LEFT JOIN lost USING (qi, pj) "
+    "WHERE rank < topk AND NOT EXISTS (SELECT 1 FROM cands c WHERE c.qi = deep.qi AND c.pj = deep.pj) GROUP BY option, topk",
+    VEC,
+    f"{SCORED}, deep AS (SELECT 'forward' AS option, qi, pj, row_number() OVER (PARTITION BY qi ORDER BY cos DESC, pj) - 1 AS rank FROM sc UNION ALL SELECT 'reverse', qi, pj, row_number() OVER (PARTITION BY pj ORDER BY cos DESC, qi) - 1 FROM sc), "
+    "cands AS (SELECT DISTINCT qi, pj FROM deep WHERE rank < CASE option WHEN 'forward' THEN 5 ELSE 1 END), "
+    "lost AS (SELECT qi, pj FROM deep WHERE option = 'forward' AND rank < 20 AND pj % 3 = 0 EXCEPT SELECT qi, pj FROM cands)",
+)
 def recovery_options(v):
     scored = blocking.pair_scores(v.vec_q, v.vec_p)
     fwd, rev = blocking.ranked(scored, "qi", "pj", 20), blocking.ranked(scored, "pj", "qi", 5)
