@@ -578,10 +578,14 @@ def recovery_options(v):
     return d.select("option", "topk", r6("recovered").alias("recovered"), r6("cost").alias("cost"))
 
 
-ASSOC = "(SELECT id, unnest(list_distinct(nw)) AS native FROM rec WHERE country = 'fr')"
+ASSOC = (
+    "an AS (SELECT id, unnest(ntok) AS native FROM rec), al AS (SELECT id, unnest(atok) AS latin FROM rec), "
+    "ap AS (SELECT native, latin, CAST(c AS DOUBLE) / cn AS p, CAST(cl AS DOUBLE) / (SELECT count(*) FROM rec) AS base FROM (SELECT native, latin, count(*) AS c FROM an JOIN al USING (id) GROUP BY native, latin HAVING count(*) >= 3) "
+    "JOIN (SELECT native, count(*) AS cn FROM an GROUP BY native) USING (native) JOIN (SELECT latin, count(*) AS cl FROM al GROUP BY latin) USING (latin))"
+)
 
 
-@query()
+@query("SELECT native, latin, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY native ORDER BY score DESC, latin) AS r FROM (SELECT native, latin, p * (p / base) AS score FROM ap WHERE p >= 0.5 AND p > base)) WHERE r = 1", "", f"{ns.record_ctes()}, {ASSOC}")
 def dictionary_association(v):
     """Tokens of a text's address that go with tokens of its name, on Latin text."""
     r = features.records(v.txt_all.select(F.col("doc_id").alias("id"), "name", "addr", "country"))
