@@ -132,14 +132,16 @@ def fit(labelled: DataFrame, sample: int = SAMPLE, k: int = CENTROIDS) -> Model
     spark = labelled.sparkSession
     ship(spark)
     rows = labelled.select("text", F.col("lang").cast("string").alias("lang")).filter("text is not null and lang is not null")
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    hashed = rows.withColumn("h", F.xxhash64("text"))
+    least = F.coalesce(F.min(F.when(F.col("text").rlike(r"\p{L}"), F.col("h"))), F.min("h"))
+    sizes = {r["lang"]: r for r in hashed.groupBy("lang").agg(F.approx_count_distinct("h").alias("n"), least.alias("least")).collect()}
     if not sizes:
         return None
     each = max(1, sample // len(sizes))
-    # A hash bound per language keeps about ``each`` texts; equal texts are one.
-    bound = {name: min(1.0, 1.25 * each / n) for name, n in sizes.items()}
-    cut = spark.createDataFrame([(name, int(-(2**63) + min(b, 1.0) * (2**64 - 1) - 1)) if b < 1 else (name, 2**63 - 1) for name, b in bound.items()], "lang string, bound long")
-    some = rows.withColumn("h", F.xxhash64("text")).join(F.broadcast(cut), "lang").filter("h <= bound").dropDuplicates(["lang", "h"])
+    # A hash bound per language keeps about ``each`` of its distinct texts, however often they repeat, and its least hash.
+    share = {name: 1.25 * each / max(1, r["n"]) for name, r in sizes.items()}
+    cut = spark.createDataFrame([(name, max(sizes[name]["least"], int(-(2**63) + b * (2**64 - 1) - 1)) if b < 1 else 2**63 - 1) for name, b in share.items()], "lang string, bound long")
+    some = hashed.join(F.broadcast(cut), "lang").filter("h <= bound").dropDuplicates(["lang", "h"])
     found = sorted(some.select("lang", "h", "text").mapInArrow(_sparse, "lang string, h long, grams binary").collect(), key=lambda r: (r["lang"], r["h"]))
     names, taken, kept = sorted(sizes), dict.fromkeys(sizes, 0), []
     for r in found:

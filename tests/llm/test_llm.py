@@ -564,6 +564,16 @@ def test_language(spark, data, empty):
     assert language.predict(far, model).first()["rejected"]
 
 
+def test_language_of_copies_is_learned(spark):
+    """Texts that repeat count once in the bound of the sample, so a language that is nearly all copies stays in the model."""
+    en = [(f"the number {i} of the words that we read and write here", "en") for i in range(40)]
+    fr = [("le chat et la souris mangent du fromage dans la maison", "fr")] * 3000 + [("123", "fr")]
+    de = [("der Hund und die Katze schlafen in dem Haus", "de")]
+    rows = spark.createDataFrame(en + fr + de, "text string, lang string")
+    for sample in (6, 3):
+        assert language.fit(rows, sample=sample, k=2).languages == ["de", "en", "fr"]
+
+
 def test_language_held_out(spark, data):
     got = llm_queries.op7_language(spark, data).join(spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "lang"), "doc_id").filter("held_out").collect()
     assert len(got) > 20 and sum(r.lang == r.lang_pred for r in got) / len(got) > 0.95
