@@ -29,6 +29,7 @@ shorter than ``LENGTH`` are never touched, nor is an empty table.
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +45,8 @@ LENGTH = 400
 WINDOW = 160
 #: Bytes whose hash chooses the sample.
 GRAM = 24
+#: Parts of the texts, by key, whose runs are named one after the other: only one part's shuffle lies on disk.
+PARTS = 2
 _POSITION = 22
 
 
@@ -315,24 +318,30 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, window: int = WINDOW,
         if level.isEmpty():
             break
         levels.append(level)
-    joined = texts.select(*key, "text")
-    for k, level in enumerate(levels):
-        joined = joined.join(level.select(*key, F.col("spots").alias(f"spots{k}")).hint("merge"), key, "left" if k else "inner")
-    runs = ws.save(joined.mapInArrow(_name_runs(length, window, len(levels)), RUNS), "runs")
+    long_enough = texts.select(*key, "text").filter(F.octet_length("text") >= length)  # no other text has a sample
+    parts = []
+    for part in range(PARTS):
+        mine = F.pmod("k1", F.lit(PARTS)) == part
+        joined = long_enough.filter(mine)
+        for k, level in enumerate(levels):
+            joined = joined.join(level.filter(mine).select(*key, F.col("spots").alias(f"spots{k}")).hint("merge"), key, "left" if k else "inner")
+        parts.append(ws.save(joined.mapInArrow(_name_runs(length, window, len(levels)), RUNS), f"runs-{part}"))
+    runs = reduce(DataFrame.unionByName, parts)
     ws.drop(*[f"level-{k}" for k in range(len(levels) + 1)])
 
     reaches = runs.groupBy("core", "reach").agg(F.count("*").alias("n"), F.min(F.struct(*key, "span")).alias("chosen"))
     cores = reaches.groupBy("core").agg(F.sum("n").alias("total"), F.max(F.col("n") == 1).alias("single"), F.count("*").alias("kinds")).filter("total > 1")
     judged = ws.save(reaches.join(cores, "core"), "judged")
-    whole = runs.join(judged.filter("n > 1").select("core", "reach"), ["core", "reach"])
     # One member of each reach of a mixed bucket stands for all that are equal to it.
     asked = ws.save(judged.filter("single and kinds > 1").select("core", "chosen.*").groupBy(*key).agg(F.collect_list(F.struct(F.col("span").alias("x"), F.col("core").alias("b"))).alias("asked")), "asked")
-    windows = ws.save(texts.select(*key, "text").join(asked.hint("merge"), key).mapInArrow(_name_windows(length), WINDOWS), "windows")
-    equal = windows.groupBy("core", "name").agg(F.count("*").alias("n")).filter("n > 1").select("core", "name")
-    single = windows.join(apart(equal), ["core", "name"]).select(*key, F.col("start").alias("lo"), F.col("start").alias("hi"))
-
     lo = F.shiftright("span", 32)
-    full = whole.select(*key, lo.alias("lo"), (lo + F.col("span").bitwiseAND(F.lit(0xFFFFFFFF))).alias("hi"))
-    marks = ws.save(full.unionByName(single).groupBy(*key).agg(F.collect_set(F.struct("lo", "hi")).alias("marks")), "marks")
-    ws.drop("runs", "judged", "asked", "windows")
+    whole = ws.save(runs.join(judged.filter("n > 1").select("core", "reach"), ["core", "reach"]).select(*key, lo.alias("lo"), (lo + F.col("span").bitwiseAND(F.lit(0xFFFFFFFF))).alias("hi")), "whole")
+    ws.drop("judged", *[f"runs-{part}" for part in range(PARTS)])
+    windows = ws.save(long_enough.join(asked.hint("merge"), key).mapInArrow(_name_windows(length), WINDOWS), "windows")
+    ws.drop("asked")
+    equal = windows.groupBy("core", "name").agg(F.count("*").alias("n")).filter("n > 1").select("core", "name")
+    single = ws.save(windows.join(apart(equal), ["core", "name"]).select(*key, F.col("start").alias("lo"), F.col("start").alias("hi")), "single")
+    ws.drop("windows")
+    marks = ws.save(whole.unionByName(single).groupBy(*key).agg(F.collect_set(F.struct("lo", "hi")).alias("marks")), "marks")
+    ws.drop("whole", "single")
     return texts.join(marks.hint("merge"), key, "left").select("doc_id", "text", "marks").mapInArrow(_remove(length), RESULT)
