@@ -207,3 +207,55 @@ def test_stream_matches_each_query_once(spark, tmp_path, data):
     q.awaitTermination(120)
     got = spark.read.parquet(f"{tmp_path}/out")
     assert {r.qi for r in got.collect()} == {r.qi for r in blocking.knn(v.vec_q, v.vec_p, 1).collect()}
+
+
+def python_grams(text, sizes):
+    out = []
+    for word in text.split():
+        w = f" {word} "
+        for s in sizes:
+            out += [w[i : i + s] for i in range(len(w) - s + 1)] or ([w] if s == min(sizes) else [])
+    return sorted(out)
+
+
+@pytest.mark.parametrize("sizes", [(2, 3, 4), (3,), (4, 5), (1, 2)])
+def test_char_grams(spark, sizes):
+    texts = ["to", "a", "", "ab cde fghij", "x y  z", "\u00e9t\u00e9 \U0001f600b c\U0001f600\U0001f600d"]
+    d = spark.createDataFrame([(t,) for t in texts], "t string").select("t", blocking.char_grams(F.col("t"), sizes).alias("g"))
+    assert all(sorted(r.g) == python_grams(r.t, sizes) for r in d.collect())
+
+
+def python_tfidf_topk(rows, k, min_df):
+    from collections import Counter
+    from math import log, sqrt
+
+    terms = {i: Counter(t.split()) for i, c, t in rows}
+    country = {i: c for i, c, _ in rows}
+    n, df = Counter(country.values()), Counter((country[i], t) for i in terms for t in terms[i])
+    vectors = {}
+    for i, c in terms.items():
+        w = {t: (1 + log(x)) * (log((1 + n[country[i]]) / (1 + df[country[i], t])) + 1) for t, x in c.items() if df[country[i], t] >= min_df}
+        norm = sqrt(sum(x * x for x in w.values()))
+        vectors[i] = {t: x / norm for t, x in w.items()}
+    out = []
+    for q in (i for i in terms if i % 5 == 0):
+        found = [(-round(sum(x * vectors[p].get(t, 0.0) for t, x in vectors[q].items()), 9), p) for p in terms if p % 5 and country[p] == country[q]]
+        out += [(q, p, r, -s) for r, (s, p) in enumerate(sorted(x for x in found if x[0] < 0)[:k])]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("entries", [2_000_000, 40])
+def test_tfidf_topk_equals_brute_force(spark, monkeypatch, entries):
+    """Equal texts, words that all rows have, rows without known words; in one block and in many."""
+    monkeypatch.setattr(blocking, "ENTRIES", entries)
+    rng = np.random.default_rng(3)
+    rows = [(i, int(i % 7 == 0), " ".join(["the"] * (i % 2) + [f"w{x}" for x in rng.zipf(1.4, int(rng.integers(0, 9))) if x < 300])) for i in range(150)]
+    rows += [(i, 0, "the same old words") for i in range(150, 190)]
+    d = spark.createDataFrame(rows, "id long, country int, t string")
+    got = blocking.tfidf_topk(d, "id", blocking.tx.words(F.col("t")), 4, F.col("id") % 5 == 0)
+    want = python_tfidf_topk(rows, 4, 2)
+    found = sorted((r.qi, r.pj, r["rank"], r.cos) for r in got.collect())
+    assert [x[:3] for x in found] == [x[:3] for x in want] and all(abs(a[3] - b[3]) < 1e-8 for a, b in zip(found, want, strict=True))
+    t = blocking.tfidf(d, "id", blocking.tx.words(F.col("t")))
+    both = blocking.sparse_topk(t.filter("id % 5 = 0").withColumnRenamed("id", "qi"), t.filter("id % 5 <> 0").withColumnRenamed("id", "pj"), 4)
+    assert sorted((r.qi, r.pj, r["rank"]) for r in both.collect()) == [x[:3] for x in want]
