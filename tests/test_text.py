@@ -97,3 +97,31 @@ def test_lcs_against_table():
 
 def test_maps_are_lower_case():
     assert all(k == k.lower() for m in (maps.NAME_WORDS, maps.ADDRESS_WORDS, *maps.STATES.values()) for k in m)
+
+
+def test_partial_and_components_equal_plain_loops(monkeypatch):
+    """Every stretch, every pair of parts; far fewer subsequences are looked for than there are stretches."""
+    import random
+
+    def plain(a, b):
+        a, b = (a, b) if len(a) <= len(b) else (b, a)
+        n = len(a)
+        if not a:
+            return float(not b)
+        found = max(fuzzy.indel(a, b[max(0, i) : i + n]) for i in range(1 - n, len(b)))
+        return max(found, max(fuzzy.indel(b, a[max(0, i) : i + n]) for i in range(1 - n, n))) if n == len(b) else found
+
+    r = random.Random(5)
+    word = lambda m: "".join(r.choice("abcd ") for _ in range(r.randint(0, m)))
+    for _ in range(1500):
+        a, b = word(12), word(20)
+        assert fuzzy.partial(a, b) == plain(a, b), (a, b)
+        x, y = [word(8) for _ in range(r.randint(1, 5))], [word(8) for _ in range(r.randint(5, 7))]
+        best = [max(fuzzy.indel(s, t) for t in y) for s in x]
+        assert fuzzy.component_match(x, y) == (sum(best) / len(best), sum(v >= 0.85 for v in best) / len(best), min(best))
+    calls = []
+    real = fuzzy.lcs
+    monkeypatch.setattr(fuzzy, "lcs", lambda a, b: calls.append(1) or real(a, b))
+    fuzzy.partial("".join(r.choices("abcdefgh", k=100)), "".join(r.choices("abcdefgh", k=2000)))
+    fuzzy.component_match(["abc", "abd"], ["abe", "abf"])
+    assert len(calls) < 1000
