@@ -1,5 +1,6 @@
 """Operators on small fixtures: properties, sources, decisions, search, streaming."""
 
+import __spark_entry__ as entry
 import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -276,3 +277,18 @@ def test_dense_blocks_of_one_table_equal_native(spark, monkeypatch):
     assert rows(blocking.knn(q, p, 4, "pj", backend="blocks")) == rows(blocking.ranked(rounded, "pj", "qi", 4))
     assert rows(blocking.lsh(q, p, 4, 8, tables=4, bits=0)) == want
     assert rows(blocking.ivf(q, p, 4, probes=8, list_size=8)) == want
+
+
+def test_lsh_asks_every_hundredth_row_against_all(spark, data):
+    """Each query has the best rows of its label, a query's own row and other queries among them."""
+    v = Views(spark, data)
+    rows = [(r.vec_id, r.label, np.asarray(r.embedding, np.float64)) for r in v.embeddings.collect()]
+    want = set()
+    for i, label, e in rows:
+        if i % 100 == 0:
+            near = sorted((-round(float(e @ x), 9), j) for j, other, x in rows if other == label)[:10]
+            want |= {(i, j) for _, j in near}
+    got = {(r.qi, r.pj) for r in entry.queries()["lsh_topk"](spark, data).collect()}
+    asked = {i for i, _, _ in rows if i % 100 == 0}
+    assert {i for i, _ in got} == asked and asked <= {i for i, j in got if i == j}
+    assert len(got) == len(want) and len(got & want) >= 0.9 * len(want)
