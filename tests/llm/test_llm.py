@@ -702,6 +702,19 @@ def test_substring_edges(spark, edges, empty):
     assert substrings.remove_repeats(empty).count() == 0
 
 
+def test_samples_of_many_texts_at_once():
+    """As each text alone gives them; short and empty texts, and texts that end as the next begins."""
+    rng = np.random.default_rng(2)
+    texts = [rng.integers(97, 100, n).astype(np.uint8) for n in (0, 30, 100, 39, 40, 41, 0, 700, 5, 64)]
+    texts += [np.full(90, 97, np.uint8), np.full(200, 97, np.uint8), texts[7], texts[7][:300], np.empty(0, np.uint8)]
+    off = np.append(0, np.cumsum([len(t) for t in texts]))
+    for window, gram in ((8, 4), (24, 8), (22, 4)):
+        row, shape, bucket = substrings.samples(np.concatenate(texts), off, 40, window, gram)
+        for i, t in enumerate(texts):
+            want = substrings._samples(t, 40, window, gram) if len(t) >= 40 else ([], [])
+            assert shape[row == i].tolist() == list(want[0]) and bucket[row == i].tolist() == list(want[1])
+
+
 def test_long_texts_in_pieces(monkeypatch):
     rng = np.random.default_rng(1)
     data = rng.integers(97, 105, 6000).astype(np.uint8)
