@@ -281,6 +281,27 @@ def test_dense_blocks_of_one_table_equal_native(spark, monkeypatch):
     assert rows(blocking.ivf(q, p, 4, probes=8, list_size=8)) == want
 
 
+@pytest.mark.parametrize("fit_rows", [200_000, 900])
+def test_dense_vectors_are_fitted_on_all_rows(spark, monkeypatch, fit_rows):
+    """Inner products of the dense vectors of 21,000 rows, by one task for each core and by more, against the decomposition of the whole matrix."""
+    monkeypatch.setattr(blocking, "FIT_ROWS", fit_rows)
+    rng, n = np.random.default_rng(5), 21_000
+    x = np.where(rng.random((n, 12)) < 0.3, rng.random((n, 12)) * np.arange(1, 13), 0).round(3)
+    x[:, 0] += 0.5
+    row, term = np.nonzero(x)
+    cells = blocking.pd.DataFrame({"id": row, "country": row % 3, "term": [f"t{t}" for t in term], "w": x[row, term]})
+    d = spark.createDataFrame(cells, "id long, country int, term string, w double").repartition(40)
+    bucket = {r.term: r.b for r in d.select("term", F.pmod(F.xxhash64("term"), F.lit(2048)).alias("b")).distinct().collect()}
+    assert len(set(bucket.values())) == 12
+    basis = np.linalg.svd(x, full_matrices=False)[2][:4].T
+    want = x @ basis / np.linalg.norm(x @ basis, axis=1, keepdims=True)
+    got = sorted((r.id, r.e) for r in blocking.dense_from_sparse(d, "id", 4).collect())
+    assert [i for i, _ in got] == list(range(n))
+    e = np.array([v for _, v in got])
+    assert np.abs(e @ e[:200].T - want @ want[:200].T).max() < 1e-5
+    assert blocking.dense_from_sparse(d.limit(0), "id", 4).count() == 0
+
+
 def test_lsh_asks_every_hundredth_row_against_all(spark, data):
     """Each query has the best rows of its label, a query's own row and other queries among them."""
     v = Views(spark, data)
